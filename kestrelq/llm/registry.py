@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kestrelq.llm import bpe
+from kestrelq.llm import bpe, chat, repair
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_bpe": bpe.query,
+        "op6_chat": chat.query,
+        "op7_repair": repair.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_chat": chat.ORACLE_SQL}
