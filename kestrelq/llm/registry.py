@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kestrelq.llm import bpe, chat, repair
+from kestrelq.llm import bpe, chat, repair, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_bpe": bpe.query,
+        "op5_simhash": simhash.query,
         "op6_chat": chat.query,
         "op7_repair": repair.query,
     }
