@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kestrelq.llm import bpe, chat, repair, simhash, substring
+from kestrelq.llm import bpe, chat, decontaminate, repair, simhash, substring
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,8 +16,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_chat": chat.query,
         "op7_repair": repair.query,
         "op9_substring": substring.query,
+        "op10_decontaminate": decontaminate.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat": chat.ORACLE_SQL, "op9_substring": substring.ORACLE_SQL}
+    return {"op6_chat": chat.ORACLE_SQL, "op9_substring": substring.ORACLE_SQL, "op10_decontaminate": decontaminate.ORACLE_SQL}
