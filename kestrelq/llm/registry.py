@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kestrelq.llm import bpe, chat, decontaminate, repair, simhash, substring
+from kestrelq.llm import bpe, chat, decontaminate, multiset, repair, simhash, substring
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_simhash": simhash.query,
         "op6_chat": chat.query,
         "op7_repair": repair.query,
+        "op8_multiset": multiset.query,
         "op9_substring": substring.query,
         "op10_decontaminate": decontaminate.query,
     }
