@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kestrelq.llm import bpe, chat, decontaminate, langid, multiset, quality, repair, simhash, substring
+from kestrelq.llm import bpe, chat, decontaminate, langid, multiset, quality, repair, simhash, substring, wrapper
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": quality.query,
         "op2_bpe": bpe.query,
+        "op3_wrapper": wrapper.query,
         "op4_langid": langid.query,
         "op5_simhash": simhash.query,
         "op6_chat": chat.query,
