@@ -29,6 +29,9 @@ from kestrelq.llm.common import Workspace, partitions, slices, table
 from kestrelq.llm.graph import components
 
 BITS, SEED, SHINGLE, RADIUS = 64, 42, 4, 4
+#: Of the pipeline's stage: links propose groups at a wider radius, which the similarity of whole shingle sets then decides on.
+STAGE_SHINGLE, STAGE_RADIUS, SIMILARITY = 5, 10, 0.8
+BROADCAST_ROWS = 500_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SHINGLES_AT_ONCE = 1 << 16
 #: Estimated seconds that a row of a key and a compared pair take; they choose the number of blocks, never the result.
@@ -60,14 +63,19 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id and its fingerprint's 64 bits as a long."""
+    """doc_id, doc_key (a hash of the text) and the fingerprint's 64 bits as a long."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             made = np.array([fingerprint(t, shingle, seed) for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made.view(np.int64))], ["doc_id", "print"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("doc_key"), pa.array(made.view(np.int64))], ["doc_id", "doc_key", "print"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, print long")
+    return keyed(docs).mapInArrow(run, "doc_id long, doc_key long, print long")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("doc_key"), text.alias("text"))
 
 
 # --- comparison ----------------------------------------------------------------------------------------------------------------
@@ -259,9 +267,8 @@ def links(prints: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
     return cold.unionByName(_links(hot, ["mask", "key", "sub", "rest"], radius))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fingerprint as 16 hexadecimal digits, component_id: the smallest doc_id that links reach."""
-    work = Workspace(docs.sparkSession, "simhash")
+def grouped(docs: DataFrame, work: Workspace, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """doc_id, doc_key, print, component_id: the smallest doc_id that links reach."""
     found = work.save(fingerprints(docs, shingle), "prints")
     nodes = found.groupBy("print").agg(F.min("doc_id").alias("first_id"))
     n = nodes.count()
@@ -269,8 +276,109 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     stars = components(edges, work)
     rooted = nodes.join(stars.withColumnRenamed("a", "print"), "print", "left").withColumn("root", F.coalesce("b", "print"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = work.save(rooted.join(least, "root").select("print", "component_id"), "named")
-    return found.join(named, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+    named = work.save(rooted.join(least, "root").select("print", "root", "component_id"), "named")
+    return found.join(named, "print")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """doc_id, fingerprint as 16 hexadecimal digits, component_id: the smallest doc_id that links reach."""
+    found = grouped(docs, Workspace(docs.sparkSession, "simhash"), shingle, radius)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# --- deduplication -------------------------------------------------------------------------------------------------------------
+
+
+def shingles(text: str | None, shingle: int) -> np.ndarray:
+    """Hashes of the text's different word shingles, sorted; fewer words are one shingle."""
+    from xxhash import xxh64_intdigest
+
+    words = (text or "").encode().translate(LOWER).split()
+    return np.unique(np.array([xxh64_intdigest(b" ".join(words[i : i + shingle]), SEED) for i in range(max(1, len(words) - shingle + 1))], np.uint64))
+
+
+class Leaders:
+    """Groups of texts that come one after another: a text that is similar to no leader leads a group, one that is similar to several joins their groups."""
+
+    def __init__(self, similarity: float):
+        self.similarity, self.sizes, self.group, self.holders = similarity, [], [], {}
+
+    def place(self, own: np.ndarray) -> int:
+        """The group's number, which `root` resolves when all texts are placed."""
+        hashes = own.tolist()
+        held = [x for h in hashes for x in self.holders.get(h, ())]
+        near: list[int] = []
+        if held:
+            both = np.bincount(held, minlength=len(self.sizes))
+            sizes = np.array(self.sizes)
+            near = np.flatnonzero(both >= self.similarity * (sizes + len(hashes) - both) - 1e-9).tolist()
+        if near:
+            roots = sorted({self.root(k) for k in near})
+            for k in roots[1:]:
+                self.group[k] = roots[0]
+            return roots[0]
+        k = len(self.sizes)
+        self.sizes.append(len(hashes))
+        self.group.append(k)
+        for h in hashes:
+            self.holders.setdefault(h, []).append(k)
+        return k
+
+    def root(self, k: int) -> int:
+        while self.group[k] != k:
+            k = self.group[k]
+        return k
+
+
+def superfluous(docs: DataFrame, shingle: int, radius: int, similarity: float) -> tuple[DataFrame, bool]:
+    """doc_id and doc_key of documents that give way to another of their group, and whether rows repeat both.
+
+    Links propose groups; within one, different texts are placed in ascending doc_id and compared by the Jaccard similarity of their
+    whole shingle sets with the groups' leaders. Of a group the smallest doc_id stays, and of equal texts the smallest doc_id.
+    """
+    spark = docs.sparkSession
+    work = Workspace(spark, "simhash-groups")
+    found = work.save(grouped(docs, work, shingle, radius).select("doc_id", "doc_key", "root"), "grouped")
+    repeated = bool(found.groupBy("doc_id", "doc_key").count().filter("count > 1").head(1))
+    texts = found.groupBy("root", "doc_key").agg(F.min("doc_id").alias("doc_id"))
+    several = texts.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").select("root")
+    asked = work.save(texts.join(several, "root").select("root", F.col("doc_id").alias("asked_id"), F.col("doc_key").alias("asked_key")), "asked")
+    few = asked.count() <= BROADCAST_ROWS
+    rows = keyed(docs).join(F.broadcast(asked) if few else asked, F.col("doc_id").eqNullSafe(F.col("asked_id")) & (F.col("doc_key") == F.col("asked_key"))).select("root", "doc_id", "doc_key", "text")
+    ordered = rows.repartition(partitions(spark), "root").sortWithinPartitions("root", F.col("doc_id").asc_nulls_last(), "doc_key")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from itertools import groupby
+
+        every = (r for b in batches for r in zip(*(b.column(c) if c == "text" else b.column(c).to_pylist() for c in ("root", "doc_id", "doc_key", "text")), strict=True))
+        for _, group in groupby(every, key=lambda r: r[0]):
+            leaders, placed = Leaders(similarity), []
+            for _, doc_id, key, text in group:
+                if not placed or placed[-1][:2] != (doc_id, key):
+                    placed.append((doc_id, key, leaders.place(shingles(text.as_py(), shingle))))
+            kept: set[int] = set()
+            out = []
+            for doc_id, key, k in placed:
+                root = leaders.root(k)
+                if root in kept:
+                    out.append((doc_id, key))
+                kept.add(root)
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["doc_id", "doc_key"])
+
+    near = work.save(ordered.mapInArrow(run, "doc_id long, doc_key long"), "near")
+    # equal texts: all but the smallest doc_id; and all copies of a text that gave way
+    first = texts.select(F.col("doc_key").alias("k"), F.col("doc_id").alias("first_id"))
+    copies = found.select("doc_id", "doc_key").join(first, F.col("doc_key") == F.col("k")).filter("NOT doc_id <=> first_id").select("doc_id", "doc_key")
+    return work.save(near.unionByName(copies).distinct(), "superfluous"), repeated
+
+
+def deduplicate(docs: DataFrame, shingle: int = STAGE_SHINGLE, radius: int = STAGE_RADIUS, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of one document of each group of near copies, the smallest doc_id, with their columns as they are."""
+    gone, repeated = superfluous(docs, shingle, radius, similarity)
+    few = gone.count() <= BROADCAST_ROWS
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("doc_key").alias("gone_key"))
+    kept = docs.join(F.broadcast(gone) if few else gone, docs["doc_id"].cast("long").eqNullSafe(F.col("gone_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("gone_key")), "left_anti")
+    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
