@@ -1 +1 @@
-"""See the package README."""
+"""Plans: trees, the strict dialect, explanations, estimates and profiles."""
