@@ -66,11 +66,14 @@ class Workspace:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove the shuffle files of finished jobs: it acts when the driver's garbage is collected."""
+    """Lets Spark's cleaner remove the shuffle files of finished jobs: it acts when the driver's garbage is collected, first Python's, then the JVM's."""
     import gc
+    import time
 
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -288,6 +288,7 @@ class FingerprintIndex:
         self.n += 1
         # one table holds both results of the batch: its run and its marks
         path = self.work.write(_merged(self._sorted(events, "bucket", "kind"), self.groups, keep), name, ["kind"])
+        del events
         if keep:
             self.runs.append(path)
             if len(self.runs) > self.most_runs:
