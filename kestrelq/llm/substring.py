@@ -29,7 +29,7 @@ from kestrelq.llm.common import Workspace, partitions, release, slices, table
 
 WINDOW, BATCHES, MOST_RUNS = 20, 2, 4
 CACHE_WORDS = 400_000
-SLICE = 4_000_000
+SLICE, MARKS_AT_ONCE = 4_000_000, 1_000_000
 FIRST = np.iinfo(np.int64).min
 EVENT = "bucket int, kind int, payload binary"
 
@@ -93,14 +93,31 @@ def _group_of(doc: np.ndarray, groups: int) -> np.ndarray:
     return ((doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(groups)
 
 
-def _marks(doc: np.ndarray, key: np.ndarray, pos: np.ndarray, groups: int) -> Iterator[tuple[int, bytes]]:
-    """Windows to remove, a payload for each group of documents."""
-    if len(doc):
-        group = _group_of(doc, groups).astype(np.uint32)
-        order = np.lexsort((pos, key, doc, group))
-        group = group[order]
-        for part in np.split(order, np.flatnonzero(group[1:] != group[:-1]) + 1):
-            yield int(_group_of(doc[part[:1]], groups)[0]), _pack(doc[part], key[part], pos[part])
+class _Marks:
+    """Windows to remove, gathered over what a task sees; a payload for each group of documents."""
+
+    def __init__(self, groups: int):
+        self.groups, self.held, self.n = groups, [], 0
+
+    def add(self, doc: np.ndarray, key: np.ndarray, pos: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+        self.held.append((doc, key, pos))
+        self.n += len(doc)
+        if self.n >= MARKS_AT_ONCE:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[tuple[int, int, bytes]]:
+        if self.n:
+            doc, key, pos = (np.concatenate([h[i] for h in self.held]) for i in range(3))
+            self.held, self.n = [], 0
+            group = _group_of(doc, self.groups).astype(np.uint32)
+            order = np.lexsort((pos, key, doc, group))
+            group = group[order]
+            for part in np.split(order, np.flatnonzero(group[1:] != group[:-1]) + 1):
+                yield int(_group_of(doc[part[:1]], self.groups)[0]), 2, _pack(doc[part], key[part], pos[part])
+
+
+def _event(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([o[0] for o in rows], pa.int32()), pa.array([o[1] for o in rows], pa.int32()), pa.array([o[2] for o in rows], pa.binary())], ["bucket", "kind", "payload"])
 
 
 def _later(main: np.ndarray, check: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
@@ -153,7 +170,7 @@ def _hashed(docs: DataFrame, window: int, buckets: int, groups: int) -> DataFram
     shift = np.uint64(64 - (buckets.bit_length() - 1))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHashes()
+        hasher, marks = WordHashes(), _Marks(groups)
         for batch in slices(batches, "text", SLICE):
             ids = batch.column("doc_id").fill_null(FIRST).to_numpy(zero_copy_only=False)
             keys = batch.column("doc_key").to_numpy(zero_copy_only=False)
@@ -177,7 +194,7 @@ def _hashed(docs: DataFrame, window: int, buckets: int, groups: int) -> DataFram
             main, check, pos = main[valid], check[valid], pos[valid].astype(np.uint32)
             doc, key = ids[owner], keys[owner].astype(np.uint16)
             later = _later(main, check, doc, pos)
-            out = [(g, 2, p) for g, p in _marks(doc[later], key[later], pos[later], groups)]
+            out = list(marks.add(doc[later], key[later], pos[later]))
             main, check, doc, key, pos = (x[~later] for x in (main, check, doc, key, pos))
             bucket = (main >> shift).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
             order = np.argsort(bucket, kind="stable")
@@ -186,7 +203,9 @@ def _hashed(docs: DataFrame, window: int, buckets: int, groups: int) -> DataFram
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 x = order[a:b]
                 out.append((int(bucket[a]), 1, _pack(main[x], check[x], doc[x], key[x], pos[x], raw=2)))
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.binary())], ["bucket", "kind", "payload"])
+            yield _event(out)
+        if rest := list(marks.rest()):
+            yield _event(rest)
 
     return docs.select("doc_id", "doc_key", "text").mapInArrow(run, EVENT)
 
@@ -197,6 +216,7 @@ def _merged(events: DataFrame, groups: int, keep: bool) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from itertools import groupby
 
+        marks = _Marks(groups)
         rows = ((b, k, p) for batch in batches for b, k, p in zip(batch.column("bucket").to_pylist(), batch.column("kind").to_pylist(), batch.column("payload"), strict=True))
         for bucket, group in groupby(rows, key=lambda r: r[0]):
             runs, batch, out = [], [], []
@@ -215,11 +235,13 @@ def _merged(events: DataFrame, groups: int, keep: bool) -> DataFrame:
                 for r in runs:
                     known |= _within(main, check, r)
                 gone = known | _later(main, check, doc, pos)
-                out += [(g, 2, p) for g, p in _marks(doc[gone], key[gone], pos[gone], groups)]
+                out += marks.add(doc[gone], key[gone], pos[gone])
                 if keep:
                     out.append((bucket, 0, _pack(*_distinct(main[~known], check[~known]))))
             for o in out:
-                yield pa.RecordBatch.from_arrays([pa.array([o[0]], pa.int32()), pa.array([o[1]], pa.int32()), pa.array([o[2]], pa.binary())], ["bucket", "kind", "payload"])
+                yield _event([o])
+        for o in marks.rest():
+            yield _event([o])
 
     return events.mapInArrow(run, EVENT)
 
@@ -232,7 +254,7 @@ def _compacted(runs: DataFrame) -> DataFrame:
         for bucket, group in groupby(rows, key=lambda r: r[0]):
             held = [_unpack(p.as_buffer(), *RUN) for _, p in group]
             made = _pack(*_distinct(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])))
-            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([0], pa.int32()), pa.array([made], pa.binary())], ["bucket", "kind", "payload"])
+            yield _event([(bucket, 0, made)])
 
     return runs.mapInArrow(run, EVENT)
 
@@ -268,8 +290,8 @@ class FingerprintIndex:
     def __init__(self, spark: SparkSession, work: Workspace, window: int = WINDOW, buckets: int | None = None, most_runs: int = MOST_RUNS):
         self.spark, self.work, self.window, self.most_runs = spark, work, window, most_runs
         self.width = partitions(spark)
-        self.buckets = buckets or 1 << (4 * self.width - 1).bit_length()
-        self.groups = self.buckets
+        self.buckets = buckets or 1 << max(4, (self.width - 1).bit_length())
+        self.groups = max(8, self.width // 3)
         self.runs: list[str] = []
         self.n = 0
 
