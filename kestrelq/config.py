@@ -71,5 +71,5 @@ class EngineConfig:
             "spark.sql.parquet.columnarReaderBatchSize": str(self.batch_size if vectorized else 1),
         }
         if self.strict:
-            out |= {"spark.sql.orderByOrdinal": "false", "spark.sql.groupByOrdinal": "false", "spark.sql.groupByAliases": "false", "spark.sql.parser.escapedStringLiterals": "true"}
+            out |= {"spark.sql.orderByOrdinal": "false", "spark.sql.groupByOrdinal": "false", "spark.sql.groupByAliases": "false"}
         return out
