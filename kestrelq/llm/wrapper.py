@@ -309,6 +309,8 @@ def extract(html: str | None, wrapper: dict | None = None) -> str:
             node = max(found, key=lambda n: sum(len(x) for _, x in blocks(n)))
     found = blocks(node if node is not None else container(root))
     constant = set(wrapper.get("constant", ()))
+    for n in list(_walk(root)):
+        n.parent = None  # without cycles a tree is freed at once
     return " ".join(x for path, x in found if not constant or _hash(path, x) not in constant)
 
 
