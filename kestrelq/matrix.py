@@ -71,7 +71,6 @@ SHARED: dict[str, str] = {
     "limit_zero": "SELECT COUNT(*) AS n FROM (SELECT o_orderkey FROM orders LIMIT 0) t",
     "optimizer_off": JOIN,
     "tuple_mode": "SELECT l_orderkey, l_linenumber, l_extendedprice * 2 AS value FROM lineitem WHERE l_quantity < 25",
-    "estimate_rows": "SELECT COUNT(*) AS n FROM lineitem WHERE l_quantity < 0",
 }
 
 SHARED_SUMS = "COUNT(*) AS n, COUNT(l_orderkey) AS k, ROUND(SUM(l_quantity), 2) AS qty, ROUND(AVG(l_extendedprice), 4) AS price, MIN(l_shipdate) AS first_ship, MAX(l_linestatus) AS status"
@@ -106,6 +105,24 @@ def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "name string, n bigint, least string, greatest string, distinct_values bigint, nulls bigint")
 
 
+ESTIMATED = {
+    "scan": "SELECT o_orderkey FROM orders",
+    "equality": "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'",
+    "impossible": "SELECT o_orderkey FROM orders WHERE o_orderkey = -1",
+    "range": "SELECT l_orderkey FROM lineitem WHERE l_quantity < 10",
+    "unknown": "SELECT l_orderkey FROM lineitem WHERE l_quantity * 2 < 10",
+    "groups": "SELECT o_orderstatus, COUNT(*) AS n FROM orders GROUP BY o_orderstatus",
+    "join": "SELECT o.o_orderkey AS k FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey",
+    "limit": "SELECT o_orderkey FROM orders LIMIT 7",
+}
+
+
+def _estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row estimates from exact statistics."""
+    made = engine(spark, sf_dir)
+    return spark.createDataFrame([(name, made.estimated_rows(made.sql(text))) for name, text in ESTIMATED.items()], "name string, estimate bigint")
+
+
 def _dataframe_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship by operators rather than SQL."""
     c = ops.scan(_read(spark, sf_dir, "customer"), "c", ["c_custkey", "c_mktsegment"])
@@ -169,6 +186,7 @@ def queries() -> dict[str, Query]:
     out["tuple_mode"] = _sql(SHARED["tuple_mode"], EngineConfig(mode=ExecutionMode.TUPLE, batch_size=1))
     out["strict_mode"] = _sql(FLAGSHIP, EngineConfig(strict=True))
     out["stats"] = _stats
+    out["estimates"] = _estimates
     out["dataframe_flagship"] = _dataframe_join
     out |= {"explain": _explained("EXPLAIN"), "explain_physical": _explained("EXPLAIN PHYSICAL"), "trace": _trace, "profile": _profile, "ast": _ast, "csv_roundtrip": _csv_roundtrip, "colfile_roundtrip": _colfile_roundtrip}
     return out
@@ -181,5 +199,15 @@ def oracle_sql() -> dict[str, str]:
         | ORACLE
         | {name: JOIN for name in ("join_hash", "join_broadcast", "join_merge", "join_nl")}
         | {"strict_mode": FLAGSHIP, "dataframe_flagship": FLAGSHIP, "csv_roundtrip": "SELECT * FROM nation", "colfile_roundtrip": "SELECT * FROM nation"}
+        | {
+            "estimates": """SELECT 'scan' AS name, COUNT(*) AS estimate FROM orders
+UNION ALL SELECT 'equality', CAST(floor(COUNT(*) * (1 / CAST(COUNT(DISTINCT o_orderstatus) AS DOUBLE))) AS BIGINT) FROM orders
+UNION ALL SELECT 'impossible', 0
+UNION ALL SELECT 'range', CAST(floor(COUNT(*) * ((10 - MIN(l_quantity)) / (MAX(l_quantity) - MIN(l_quantity)))) AS BIGINT) FROM lineitem
+UNION ALL SELECT 'unknown', CAST(floor(COUNT(*) * CAST(0.1 AS DOUBLE)) AS BIGINT) FROM lineitem
+UNION ALL SELECT 'groups', COUNT(DISTINCT o_orderstatus) FROM orders
+UNION ALL SELECT 'join', CAST(floor((SELECT COUNT(*) FROM orders) * (SELECT COUNT(*) FROM customer) / CAST(greatest((SELECT COUNT(DISTINCT o_custkey) FROM orders), (SELECT COUNT(DISTINCT c_custkey) FROM customer)) AS DOUBLE)) AS BIGINT)
+UNION ALL SELECT 'limit', 7"""
+        }
         | {"stats": " UNION ALL ".join(column.format(c=c) for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))}
     )
