@@ -62,13 +62,27 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     small = n <= BROADCAST_WORDS
     found = work.save(prefixes(docs, windows, small), "prefixes")
     tokens = docs.select("doc_id", F.xxhash64("text").alias("doc_key"), words("text").alias("words"))
+    if not small:
+        return _shuffled(tokens, found)
+    # one pass: the words array is read where it is spread, and never leaves its row
     spread = tokens.select("doc_id", "doc_key", "words", F.posexplode_outer("words").alias("at", "word"))
     at = F.col("at") - F.col("offset")
     verified = (F.col("word") == F.col("prefix")) & (at >= 0) & (at + F.col("length") <= F.size("words")) & (F.slice("words", F.greatest(at, F.lit(0)) + 1, F.col("length")) == F.col("window"))
-    joined = spread.join(F.broadcast(found) if small else found, verified, "left")
+    joined = spread.join(F.broadcast(found), verified, "left")
     return joined.filter("length IS NOT NULL OR coalesce(at, 0) = 0").select("doc_id", "doc_key", F.coalesce("at", F.lit(0)).alias("position"), F.size("words").cast("long").alias("n_words"), at.alias("begin"), "length", "items")
 
 
+def _shuffled(tokens: DataFrame, found: DataFrame) -> DataFrame:
+    """The same rows with shuffled joins: single words meet prefixes, and only candidates meet their documents again."""
+    spread = tokens.select("doc_id", "doc_key", F.size("words").alias("n"), F.posexplode("words").alias("at", "word"))
+    begin = (F.col("at") - F.col("offset")).alias("begin")
+    candidates = spread.join(found, F.col("word") == F.col("prefix")).select(F.col("doc_id").alias("c_doc"), F.col("doc_key").alias("c_key"), "n", "at", begin, "length", "window", "items").filter("begin >= 0 AND begin + length <= n")
+    checked = tokens.join(candidates, F.col("doc_id").eqNullSafe(F.col("c_doc")) & (F.col("doc_key") == F.col("c_key"))).filter(F.slice("words", F.col("begin") + 1, F.col("length")) == F.col("window"))
+    whole = tokens.select("doc_id", "doc_key", F.lit(0).alias("position"), F.size("words").cast("long").alias("n_words"))
+    hits = checked.select("doc_id", "doc_key", F.col("at").alias("position"), F.col("n").cast("long").alias("n_words"), "begin", "length", "items")
+    return whole.unionByName(hits, allowMissingColumns=True)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_items: int = LEAST_ITEMS) -> DataFrame:
     """doc_id, doc_key, n_words, n_hit, items (sorted), contaminated; a row for each different (doc_id, text)."""
     found = occurrences(docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")), benchmark, window)
@@ -97,8 +111,8 @@ def digests(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_items: int = LEAST_ITEMS) -> DataFrame:
     """The rows of documents that are not contaminated, with their columns as they are."""
-    found = contamination(docs, benchmark, window, least_items).filter("contaminated").select(F.col("doc_id").alias("hit_doc"), F.col("doc_key").alias("hit_key"))
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["hit_doc"]) & (F.xxhash64(docs["text"].cast("string")) == found["hit_key"]), "left_anti")
+    found = contamination(docs, benchmark, window, least_items).filter("contaminated").select(F.col("doc_id").alias("__kestrelq_hit_doc"), F.col("doc_key").alias("__kestrelq_hit_key"))
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["__kestrelq_hit_doc"]) & (F.xxhash64(docs["text"].cast("string")) == found["__kestrelq_hit_key"]), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
