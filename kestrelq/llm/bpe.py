@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kestrelq.llm.common import slices, table
+from kestrelq.llm.common import slices, table, trimmed
 
 #: Fixed value: the pattern by which byte-level vocabularies of this family split texts (public_tokenizers.PATTERN).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -193,19 +193,24 @@ class _Content:
         return self.broadcast.value
 
 
-def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: str = "token_ids") -> DataFrame:
-    """Adds `ids`, binary: the text's ids as little-endian unsigned 32-bit integers."""
+def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: str = "token_ids", checked: str | None = None) -> DataFrame:
+    """Adds `ids`, binary: the text's ids as little-endian unsigned 32-bit integers; and `checked`, if named: whether they decode to the text."""
     content = _Content(docs.sparkSession, path or default_vocabulary())
-    schema = T.StructType([f for f in docs.schema if f.name != ids] + [T.StructField(ids, T.BinaryType())])
+    made_here = {ids, checked}
+    schema = T.StructType([f for f in docs.schema if f.name not in made_here] + [T.StructField(ids, T.BinaryType())] + [T.StructField(checked, T.BooleanType())] * bool(checked))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(content)
         for batch in slices(batches, text):
-            columns = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != ids]
-            made = encode_texts(vocabulary, batch.column(text).to_pylist())
-            yield pa.RecordBatch.from_arrays([c for _, c in columns] + [pa.array(made, pa.binary())], [n for n, _ in columns] + [ids])
+            columns = [c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n not in made_here]
+            texts = batch.column(text).to_pylist()
+            made = encode_texts(vocabulary, texts)
+            columns.append(pa.array(made, pa.binary()))
+            if checked:
+                columns.append(pa.array([vocabulary.decode(x) == (t or "").encode() for x, t in zip(made, texts, strict=True)], pa.bool_()))
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def decode(encoded: DataFrame, path: str | None = None, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
@@ -220,7 +225,7 @@ def decode(encoded: DataFrame, path: str | None = None, ids: str = "token_ids",
             made = [vocabulary.decode(x or b"").decode("utf-8", "replace") for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([c for _, c in columns] + [pa.array(made, pa.string())], [n for n, _ in columns] + [text])
 
-    return encoded.mapInArrow(run, schema)
+    return encoded.mapInArrow(trimmed(run), schema)
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -244,7 +249,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrelq.llm.common import partitions, table
+from kestrelq.llm.common import partitions, table, trimmed
 
 TEMPLATE = (
     "{% for message in messages %}"
@@ -452,7 +452,7 @@ def format_conversations(conversations: DataFrame, template: str = TEMPLATE) ->
             text, spans = render(messages, template)
             yield pa.RecordBatch.from_pylist([{"conv_id": conv_id, "formatted": text, "loss_spans": [list(s) for s in spans]}], schema)
 
-    return _ordered(conversations).mapInArrow(run, "conv_id long, formatted string, loss_spans array<array<bigint>>")
+    return _ordered(conversations).mapInArrow(trimmed(run), "conv_id long, formatted string, loss_spans array<array<bigint>>")
 
 
 def digests(conversations: DataFrame, template: str = TEMPLATE) -> DataFrame:
@@ -472,7 +472,7 @@ def digests(conversations: DataFrame, template: str = TEMPLATE) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return _ordered(conversations).mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return _ordered(conversations).mapInArrow(trimmed(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kestrelq.llm.common import slices, table, train_fold
+from kestrelq.llm.common import slices, table, train_fold, trimmed
 
 FOLDS, HELD_OUT = 5, 0
 SAMPLE, GRAMS, SMOOTH = 1_500, 1 << 16, 0.5
@@ -159,7 +159,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Mixture:
     def total(key: tuple, rows: pa.Table) -> pa.Table:
         return pa.table({"lang": [key[0].as_py()], "counts": [sum(np.frombuffer(x.as_py(), np.int64) for x in rows.column("counts")).tobytes()]}, pa.schema([("lang", pa.string()), ("counts", pa.binary())]))
 
-    summed = texts.mapInArrow(count, "lang string, counts binary").groupBy("lang").applyInArrow(total, "lang string, counts binary").collect()  # a row a language
+    summed = texts.mapInArrow(trimmed(count), "lang string, counts binary").groupBy("lang").applyInArrow(total, "lang string, counts binary").collect()  # a row a language
     summed.sort(key=lambda r: r.lang)
     return Mixture([r.lang for r in summed], np.array([np.frombuffer(bytes(r.counts), np.int64) for r in summed], float))
 
@@ -178,7 +178,7 @@ def identify(docs: DataFrame, model: Mixture) -> DataFrame:
             made = [own.infer(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())], [f.name for f in schema])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kestrelq.llm.common import slices, table, train_fold
+from kestrelq.llm.common import slices, table, train_fold, trimmed
 
 FOLDS, HELD_OUT = 3, 1
 SAMPLE, PAIRS, RIDGE, STEPS, FEW_WORDS = 8_000, 40_000, 1e-3, 25, 5
@@ -114,7 +114,7 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[
             made = [features(t).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), batch.column("quality")], ["features", "quality"])
 
-    found = texts.mapInArrow(run, "features binary, quality int").collect()
+    found = texts.mapInArrow(trimmed(run), "features binary, quality int").collect()
     rows = np.frombuffer(b"".join(bytes(r.features) for r in found), np.float64).reshape(len(found), len(NAMES))
     order = np.lexsort(rows.T)  # the order in which rows arrive must not matter
     return rows[order], np.array([r.quality for r in found], np.int64)[order]
@@ -130,7 +130,7 @@ def score(docs: DataFrame, ranking: Ranking) -> DataFrame:
             made = ranking.score(np.stack([features(t) for t in batch.column("text").to_pylist()]))
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), pa.array(made), pa.array((made >= 0.5).astype(np.int32))], [f.name for f in schema])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -25,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrelq.llm.common import Workspace, partitions, slices, table
+from kestrelq.llm.common import Workspace, partitions, slices, table, trimmed
 from kestrelq.llm.graph import components
 
 BITS, SEED, SHINGLE, RADIUS = 64, 42, 4, 4
-#: Of the pipeline's stage: links propose groups at a wider radius, which the similarity of whole shingle sets then decides on.
-STAGE_SHINGLE, STAGE_RADIUS, SIMILARITY = 5, 10, 0.8
+#: Of the pipeline's stage: fingerprints of two-word shingles, linked at a wider radius, propose groups (64 bits of five-word shingles are
+#: too coarse for that); the similarity of whole sets of five-word shingles decides on them.
+STAGE_SHINGLE, PROPOSE_SHINGLE, PROPOSE_RADIUS, SIMILARITY = 5, 2, 10, 0.8
 BROADCAST_ROWS = 500_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SHINGLES_AT_ONCE = 1 << 16
@@ -70,7 +71,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
             made = np.array([fingerprint(t, shingle, seed) for t in batch.column("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("doc_key"), pa.array(made.view(np.int64))], ["doc_id", "doc_key", "print"])
 
-    return keyed(docs).mapInArrow(run, "doc_id long, doc_key long, print long")
+    return keyed(docs).mapInArrow(trimmed(run), "doc_id long, doc_key long, print long")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -252,7 +253,7 @@ def _links(keyed: DataFrame, by: list[str], radius: int) -> DataFrame:
         if held:
             yield compared([np.concatenate([h[0][i] for h in held]) for i in range(len(by))], np.concatenate([h[1] for h in held]))
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(trimmed(run), "a long, b long")
 
 
 def links(prints: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
@@ -330,7 +331,7 @@ class Leaders:
         return k
 
 
-def superfluous(docs: DataFrame, shingle: int, radius: int, similarity: float) -> tuple[DataFrame, bool]:
+def superfluous(docs: DataFrame, shingle: int, propose: int, radius: int, similarity: float) -> tuple[DataFrame, bool]:
     """doc_id and doc_key of documents that give way to another of their group, and whether rows repeat both.
 
     Links propose groups; within one, different texts are placed in ascending doc_id and compared by the Jaccard similarity of their
@@ -338,7 +339,7 @@ def superfluous(docs: DataFrame, shingle: int, radius: int, similarity: float) -
     """
     spark = docs.sparkSession
     work = Workspace(spark, "simhash-groups")
-    found = work.save(grouped(docs, work, shingle, radius).select("doc_id", "doc_key", "root"), "grouped")
+    found = work.save(grouped(docs, work, propose, radius).select("doc_id", "doc_key", "root"), "grouped")
     repeated = bool(found.groupBy("doc_id", "doc_key").count().filter("count > 1").head(1))
     texts = found.groupBy("root", "doc_key").agg(F.min("doc_id").alias("doc_id"))
     several = texts.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").select("root")
@@ -365,19 +366,19 @@ def superfluous(docs: DataFrame, shingle: int, radius: int, similarity: float) -
                 kept.add(root)
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["doc_id", "doc_key"])
 
-    near = work.save(ordered.mapInArrow(run, "doc_id long, doc_key long"), "near")
+    near = work.save(ordered.mapInArrow(trimmed(run), "doc_id long, doc_key long"), "near")
     # equal texts: all but the smallest doc_id; and all copies of a text that gave way
     first = texts.select(F.col("doc_key").alias("k"), F.col("doc_id").alias("first_id"))
     copies = found.select("doc_id", "doc_key").join(first, F.col("doc_key") == F.col("k")).filter("NOT doc_id <=> first_id").select("doc_id", "doc_key")
     return work.save(near.unionByName(copies).distinct(), "superfluous"), repeated
 
 
-def deduplicate(docs: DataFrame, shingle: int = STAGE_SHINGLE, radius: int = STAGE_RADIUS, similarity: float = SIMILARITY) -> DataFrame:
+def deduplicate(docs: DataFrame, shingle: int = STAGE_SHINGLE, propose: int = PROPOSE_SHINGLE, radius: int = PROPOSE_RADIUS, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of one document of each group of near copies, the smallest doc_id, with their columns as they are."""
-    gone, repeated = superfluous(docs, shingle, radius, similarity)
+    gone, repeated = superfluous(docs, shingle, propose, radius, similarity)
     few = gone.count() <= BROADCAST_ROWS
-    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("doc_key").alias("gone_key"))
-    kept = docs.join(F.broadcast(gone) if few else gone, docs["doc_id"].cast("long").eqNullSafe(F.col("gone_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("gone_key")), "left_anti")
+    gone = gone.select(F.col("doc_id").alias("__kestrelq_gone_id"), F.col("doc_key").alias("__kestrelq_gone_key"))
+    kept = docs.join(F.broadcast(gone) if few else gone, docs["doc_id"].cast("long").eqNullSafe(F.col("__kestrelq_gone_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__kestrelq_gone_key")), "left_anti")
     return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
 
 

@@ -25,12 +25,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kestrelq.llm.common import Workspace, partitions, release, slices, table
+from kestrelq.llm.common import Workspace, partitions, release, slices, table, trimmed
 
 WINDOW, BATCHES, MOST_RUNS = 20, 2, 4
 CACHE_WORDS = 400_000
 SLICE, MARKS_AT_ONCE = 4_000_000, 1_000_000
 FIRST = np.iinfo(np.int64).min
+#: Columns of its own, named so that they clash with none of the input's.
+KEY, SPANS = "__kestrelq_key", "__kestrelq_spans"
 EVENT = "bucket int, kind int, payload binary"
 
 
@@ -207,7 +209,7 @@ def _hashed(docs: DataFrame, window: int, buckets: int, groups: int) -> DataFram
         if rest := list(marks.rest()):
             yield _event(rest)
 
-    return docs.select("doc_id", "doc_key", "text").mapInArrow(run, EVENT)
+    return docs.select("doc_id", "doc_key", "text").mapInArrow(trimmed(run), EVENT)
 
 
 def _merged(events: DataFrame, groups: int, keep: bool) -> DataFrame:
@@ -243,7 +245,7 @@ def _merged(events: DataFrame, groups: int, keep: bool) -> DataFrame:
         for o in marks.rest():
             yield _event([o])
 
-    return events.mapInArrow(run, EVENT)
+    return events.mapInArrow(trimmed(run), EVENT)
 
 
 def _compacted(runs: DataFrame) -> DataFrame:
@@ -256,7 +258,7 @@ def _compacted(runs: DataFrame) -> DataFrame:
             made = _pack(*_distinct(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])))
             yield _event([(bucket, 0, made)])
 
-    return runs.mapInArrow(run, EVENT)
+    return runs.mapInArrow(trimmed(run), EVENT)
 
 
 def _spans(marks: DataFrame, window: int) -> DataFrame:
@@ -281,7 +283,7 @@ def _spans(marks: DataFrame, window: int) -> DataFrame:
             ids = doc[first[head]]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=ids == FIRST), pa.array(key[first[head]].astype(np.int32)), pa.array(made, pa.binary())], ["doc_id", "doc_key", "spans"])
 
-    return marks.mapInArrow(run, "doc_id long, doc_key int, spans binary")
+    return marks.mapInArrow(trimmed(run), "doc_id long, doc_key int, spans binary")
 
 
 class FingerprintIndex:
@@ -352,13 +354,13 @@ def removable(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES) ->
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string")).withColumn("doc_key", F.xxhash64("text").bitwiseAND(0xFFFF).cast("int"))
+    return docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string")).withColumn(KEY, F.xxhash64("text").bitwiseAND(0xFFFF).cast("int"))
 
 
 def _joined(docs: DataFrame, window: int, batches: int) -> DataFrame:
     keyed = _keyed(docs)
-    spans = removable(keyed.select("doc_id", "doc_key", "text"), window, batches).select(F.col("doc_id").alias("span_doc"), F.col("doc_key").alias("span_key"), "spans")
-    return keyed.join(spans, keyed["doc_id"].eqNullSafe(spans["span_doc"]) & (keyed["doc_key"] == spans["span_key"]), "left").drop("span_doc", "span_key", "doc_key")
+    spans = removable(keyed.select("doc_id", F.col(KEY).alias("doc_key"), "text"), window, batches).select(F.col("doc_id").alias(f"{KEY}_doc"), F.col("doc_key").alias(f"{KEY}_of"), F.col("spans").alias(SPANS))
+    return keyed.join(spans, keyed["doc_id"].eqNullSafe(spans[f"{KEY}_doc"]) & (keyed[KEY] == spans[f"{KEY}_of"]), "left").drop(f"{KEY}_doc", f"{KEY}_of", KEY)
 
 
 def _kept(words: list, spans: bytes | None) -> list:
@@ -374,13 +376,13 @@ def _kept(words: list, spans: bytes | None) -> list:
 def deduplicate(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES) -> DataFrame:
     """The rows with what started earlier taken out of their texts: a document that loses words has the kept ones joined by one space; the others stay as they are. Adds n_removed."""
     joined = _joined(docs, window, batches)
-    fields = [f for f in joined.schema if f.name not in ("spans", "n_removed")]
+    fields = [f for f in joined.schema if f.name not in (SPANS, "n_removed")]
     schema = T.StructType([*fields, T.StructField("n_removed", T.LongType())])
 
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(rows, "text"):
             texts, removed = [], []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column(SPANS).to_pylist(), strict=True):
                 words = text.encode().split() if spans else []
                 kept = _kept(words, spans)
                 removed.append(len(words) - len(kept))
@@ -388,7 +390,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES) -
             columns = [pa.array(texts, pa.string()) if f.name == "text" else batch.column(f.name) for f in fields]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.int64())], [*(f.name for f in fields), "n_removed"])
 
-    return joined.select(*(f.name for f in fields), "spans").mapInArrow(run, schema)
+    return joined.select(*(f.name for f in fields), SPANS).mapInArrow(trimmed(run), schema)
 
 
 def digests(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES) -> DataFrame:
@@ -397,7 +399,7 @@ def digests(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES) -> Da
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(rows, "text"):
             n_words, n_removed, digest = [], [], []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column(SPANS).to_pylist(), strict=True):
                 words = (text or "").encode().split()
                 kept = _kept(words, spans)
                 n_words.append(len(words))
@@ -405,7 +407,7 @@ def digests(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES) -> Da
                 digest.append(hashlib.sha256(b" ".join(kept)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return joined.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return joined.select("doc_id", "text", SPANS).mapInArrow(trimmed(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kestrelq.llm.common import Workspace, slices, table
+from kestrelq.llm.common import Workspace, slices, table, trimmed
 
 SAMPLE, ALIKE, LEAST_PAGES, CONSTANT, BROADCAST_ROWS = 8, 0.3, 3, 0.99, 50_000
 #: Elements of HTML without content, those that end a paragraph, and what an element's start ends.
@@ -357,7 +357,7 @@ def main_text(pages: DataFrame) -> DataFrame:
                 made.append(extract(html, read[wrapper] if wrapper else None))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(made, pa.string()), pa.array([len(x) for x in made], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return joined.mapInArrow(trimmed(run), "page_id long, url string, text string, n_chars long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
