@@ -32,7 +32,7 @@ BITS, SEED, SHINGLE, RADIUS = 64, 42, 4, 4
 #: Of the pipeline's stage: fingerprints of two-word shingles, linked at a wider radius, propose groups (64 bits of five-word shingles are
 #: too coarse for that); the similarity of whole sets of five-word shingles decides on them.
 STAGE_SHINGLE, PROPOSE_SHINGLE, PROPOSE_RADIUS, SIMILARITY = 5, 2, 10, 0.8
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS, GROUP_ROWS = 500_000, 20_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SHINGLES_AT_ONCE = 1 << 16
 #: Estimated seconds that a row of a key and a compared pair take; they choose the number of blocks, never the result.
@@ -331,45 +331,57 @@ class Leaders:
         return k
 
 
-def superfluous(docs: DataFrame, shingle: int, propose: int, radius: int, similarity: float) -> tuple[DataFrame, bool]:
-    """doc_id and doc_key of documents that give way to another of their group, and whether rows repeat both.
+def _led(docs: DataFrame, asked: DataFrame, by: list[str], shingle: int, similarity: float) -> DataFrame:
+    """Of asked documents (with the columns `by`, asked_id, asked_key): doc_id, doc_key, and whether another of their group leads.
 
-    Links propose groups; within one, different texts are placed in ascending doc_id and compared by the Jaccard similarity of their
-    whole shingle sets with the groups' leaders. Of a group the smallest doc_id stays, and of equal texts the smallest doc_id.
+    A group's documents come in ascending doc_id as a stream; only the shingles of leaders are held.
     """
-    spark = docs.sparkSession
-    work = Workspace(spark, "simhash-groups")
-    found = work.save(grouped(docs, work, propose, radius).select("doc_id", "doc_key", "root"), "grouped")
-    repeated = bool(found.groupBy("doc_id", "doc_key").count().filter("count > 1").head(1))
-    texts = found.groupBy("root", "doc_key").agg(F.min("doc_id").alias("doc_id"))
-    several = texts.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").select("root")
-    asked = work.save(texts.join(several, "root").select("root", F.col("doc_id").alias("asked_id"), F.col("doc_key").alias("asked_key")), "asked")
     few = asked.count() <= BROADCAST_ROWS
-    rows = keyed(docs).join(F.broadcast(asked) if few else asked, F.col("doc_id").eqNullSafe(F.col("asked_id")) & (F.col("doc_key") == F.col("asked_key"))).select("root", "doc_id", "doc_key", "text")
-    ordered = rows.repartition(partitions(spark), "root").sortWithinPartitions("root", F.col("doc_id").asc_nulls_last(), "doc_key")
+    rows = keyed(docs).join(F.broadcast(asked) if few else asked, F.col("doc_id").eqNullSafe(F.col("asked_id")) & (F.col("doc_key") == F.col("asked_key"))).select(*by, "doc_id", "doc_key", "text")
+    ordered = rows.repartition(partitions(docs.sparkSession), *by).sortWithinPartitions(*by, F.col("doc_id").asc_nulls_last(), "doc_key")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from itertools import groupby
 
-        every = (r for b in batches for r in zip(*(b.column(c) if c == "text" else b.column(c).to_pylist() for c in ("root", "doc_id", "doc_key", "text")), strict=True))
+        every = (r for b in batches for r in zip(zip(*(b.column(c).to_pylist() for c in by), strict=True), b.column("doc_id").to_pylist(), b.column("doc_key").to_pylist(), b.column("text"), strict=True))
         for _, group in groupby(every, key=lambda r: r[0]):
             leaders, placed = Leaders(similarity), []
             for _, doc_id, key, text in group:
                 if not placed or placed[-1][:2] != (doc_id, key):
                     placed.append((doc_id, key, leaders.place(shingles(text.as_py(), shingle))))
             kept: set[int] = set()
-            out = []
-            for doc_id, key, k in placed:
+            led = []
+            for _, _, k in placed:
                 root = leaders.root(k)
-                if root in kept:
-                    out.append((doc_id, key))
+                led.append(root in kept)
                 kept.add(root)
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["doc_id", "doc_key"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in placed], pa.int64()), pa.array([x[1] for x in placed], pa.int64()), pa.array(led, pa.bool_())], ["doc_id", "doc_key", "led"])
+
+    return ordered.mapInArrow(trimmed(run), "doc_id long, doc_key long, led boolean")
+
 
-    near = work.save(ordered.mapInArrow(trimmed(run), "doc_id long, doc_key long"), "near")
+def superfluous(docs: DataFrame, shingle: int, propose: int, radius: int, similarity: float) -> tuple[DataFrame, bool]:
+    """doc_id and doc_key of documents that give way to another of their group, and whether rows repeat both.
+
+    Links propose groups; within one, different texts are placed in ascending doc_id and compared by the Jaccard similarity of their
+    whole shingle sets with the groups' leaders. Of a group the smallest doc_id stays, and of equal texts the smallest doc_id. A proposed
+    group of very many texts is dealt out by hash; what leads in the parts is then compared once more.
+    """
+    work = Workspace(docs.sparkSession, "simhash-groups")
+    found = work.save(grouped(docs, work, propose, radius).select("doc_id", "doc_key", "root"), "grouped")
+    repeated = bool(found.groupBy("doc_id", "doc_key").count().filter("count > 1").head(1))
+    texts = found.groupBy("root", "doc_key").agg(F.min("doc_id").alias("doc_id"))
+    several = texts.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").select("root", F.ceil(F.col("n") / GROUP_ROWS).alias("parts"))
+    asked = work.save(texts.join(several, "root").select("root", F.pmod(F.hash("doc_key"), F.col("parts").cast("int")).alias("part"), "parts", F.col("doc_id").alias("asked_id"), F.col("doc_key").alias("asked_key")), "asked")
+    first = work.save(_led(docs, asked.drop("parts"), ["root", "part"], shingle, similarity), "first")
+    near = first.filter("led")
+    heads = asked.filter("parts > 1").join(first.filter("NOT led"), F.col("asked_id").eqNullSafe(F.col("doc_id")) & (F.col("asked_key") == F.col("doc_key"))).select("root", "asked_id", "asked_key")
+    if heads.head(1):
+        near = near.unionByName(work.save(_led(docs, work.save(heads, "heads"), ["root"], shingle, similarity), "second").filter("led"))
+    near = near.select("doc_id", "doc_key")
     # equal texts: all but the smallest doc_id; and all copies of a text that gave way
-    first = texts.select(F.col("doc_key").alias("k"), F.col("doc_id").alias("first_id"))
-    copies = found.select("doc_id", "doc_key").join(first, F.col("doc_key") == F.col("k")).filter("NOT doc_id <=> first_id").select("doc_id", "doc_key")
+    least = texts.select("root", "doc_key", F.col("doc_id").alias("first_id"))
+    copies = found.join(least, ["root", "doc_key"]).filter("NOT doc_id <=> first_id").select("doc_id", "doc_key")
     return work.save(near.unionByName(copies).distinct(), "superfluous"), repeated
 
 
