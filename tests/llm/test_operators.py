@@ -264,7 +264,10 @@ def test_components_of_chains_and_stars(spark):
     assert found == {i: 0 for i in range(1, 61)} | {k: 1000 for k in range(2000, 2050)}
 
 
-def test_deduplication_keeps_one_of_each_group(docs, texts, clashing, empty):
+@pytest.mark.parametrize("group_rows", [20_000, 1])
+def test_deduplication_keeps_one_of_each_group(docs, texts, clashing, empty, group_rows, monkeypatch):
+    monkeypatch.setattr(simhash, "GROUP_ROWS", group_rows)
+
     def shingles(t):
         w = re.sub("[A-Z]", lambda m: m[0].lower(), t or "").split()
         return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
