@@ -55,10 +55,14 @@ class Engine:
 
     def sql(self, sql: str) -> DataFrame:
         """The query's rows; errors of names and types are raised here, before anything runs."""
-        kind, text = self._plain(sql)
-        del kind
+        _, text = self._plain(sql)
         with self._settings():
-            return self._analysed(text)
+            df = self._analysed(text)
+            try:
+                explain.execution(df).executedPlan()  # planned under these settings, whenever it runs
+            except Exception as e:
+                raise translated(e, sql) from e
+            return df
 
     def query(self, sql: str) -> Result:
         kind, text = self._plain(sql)
