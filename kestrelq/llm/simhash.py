@@ -259,7 +259,9 @@ def _links(keyed: DataFrame, by: list[str], radius: int) -> DataFrame:
 def links(prints: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
     """Links (a, b) that connect all of the n different fingerprints that are within the radius of each other."""
     masks = plan(n, radius)
-    sized = _keys(prints, masks).selectExpr("*", "count(1) OVER (PARTITION BY mask, key) AS n")
+    # dealt out by number, which adaptive execution leaves as it is: a task compares much more than its few bytes tell
+    dealt = _keys(prints, masks).repartition(partitions(prints.sparkSession), "mask", "key")
+    sized = dealt.selectExpr("*", "count(1) OVER (PARTITION BY mask, key) AS n")
     cold = _links(sized.filter(f"n BETWEEN 2 AND {HOT_KEY}"), ["mask", "key"], radius)
     # in a hot key the pairs agree on one of radius + 1 blocks of its other bits
     again = [[m for m in _masks(_cut([b for b in range(BITS) if not mask >> b & 1], radius + 1), 1)] for mask in masks]
