@@ -33,8 +33,9 @@ from kestrelq.llm.common import Workspace, partitions, slices, table
 
 #: Fixed value: the pattern by which the lower-casing word vocabulary splits texts.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-BLOCK_IDS, PAIRS_A_ROUND, LEAST_COUNT, LEAST_GAIN, MOST_ROUNDS = 1 << 18, 2048, 8, 0.02, 12
-CACHE_WORDS, CACHE_CHARS = 400_000, 64
+BLOCK_IDS, PAIRS_A_ROUND, LEAST_COUNT, LEAST_GAIN, MOST_ROUNDS = 1 << 18, 2048, 8, 0.03, 12
+CACHE_WORDS, CACHE_CHARS = 700_000, 48
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
 MAGIC, HEAD = b"KQRP", struct.Struct("<4sIIIIIQ")
 END_ID = 1
 
@@ -45,6 +46,21 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class _Cache(dict):
+    """Words met so far, up to a number; long ones are made each time."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, word: str) -> bytes:
+        made = self.make(word)
+        if len(word) <= CACHE_CHARS:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = made
+        return made
+
+
 class WordEncoder:
     """Encodes as the tokenizers library does: its model merges the words, here kept in a bounded cache of what was met."""
 
@@ -60,18 +76,15 @@ class WordEncoder:
         self.special_pattern = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))))
         self.pattern = regex.compile(PATTERN)
         self.char_of = {b: c for c, b in byte_alphabet().items()}
-        self.cache: dict[str, bytes] = {}
+        self.cache, self.pieces = _Cache(self._word), _Cache(self._piece)
         self.assigned: set[str] = set()
 
     def _word(self, word: str) -> bytes:
-        found = self.cache.get(word)
-        if found is None:
-            found = np.array([t.id for t in self.model.tokenize("".join(map(self.char_of.__getitem__, word.encode())))], self.kind).tobytes()
-            if len(word) <= CACHE_CHARS:
-                if len(self.cache) >= CACHE_WORDS:
-                    self.cache.clear()
-                self.cache[word] = found
-        return found
+        """Of a piece of lower-cased text without white space."""
+        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(word)))
+
+    def _piece(self, piece: str) -> bytes:
+        return np.array([t.id for t in self.model.tokenize("".join(map(self.char_of.__getitem__, piece.encode())))], self.kind).tobytes()
 
     def _ordinary(self, text: str) -> bytes:
         if not text.isascii():
@@ -82,11 +95,11 @@ class WordEncoder:
             self.assigned |= new
             # lower-casing goes character by character, so that a final sigma is not told apart
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        words = self.pattern.findall(text.lower())
-        try:
-            return b"".join(map(self.cache.__getitem__, words))
-        except KeyError:
-            return b"".join(map(self._word, words))
+        text = text.lower()
+        # no piece of the pattern reaches over white space; these four are white space to split() alone
+        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+            return self._word(text)
+        return b"".join(map(self.cache.__getitem__, text.split()))
 
     def encode(self, text: str) -> bytes:
         if not any(s in text for s in self.special):
@@ -120,12 +133,18 @@ def compress(ids: np.ndarray, starts: np.ndarray, base: int) -> tuple[np.ndarray
         if count[often].sum() < LEAST_GAIN * len(symbols):
             break
         pairs = np.sort(ranked[edge[often]])
-        at = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
-        where = np.flatnonzero((pairs[at] == key) & ~last[:-1])
+        # a small table of hashes leaves few positions to search for
+        maybe = np.zeros(1 << 16, bool)
+        maybe[(pairs * SPREAD) >> np.uint64(48)] = True
+        where = np.flatnonzero(maybe[(key * SPREAD) >> np.uint64(48)] & ~last[:-1])
+        at = np.minimum(np.searchsorted(pairs, key[where]), len(pairs) - 1)
+        found = pairs[at] == key[where]
+        where, at = where[found], at[found]
         # where chosen pairs overlap, every other one of a run is replaced, from the left
         run = np.flatnonzero(np.concatenate(([True], np.diff(where) != 1)))
-        where = where[(np.arange(len(where)) - np.repeat(run, np.diff(np.append(run, len(where))))) % 2 == 0]
-        symbols[where] = base + n_rules + at[where]
+        even = (np.arange(len(where)) - np.repeat(run, np.diff(np.append(run, len(where))))) % 2 == 0
+        where, at = where[even], at[even]
+        symbols[where] = base + n_rules + at
         last[where] = last[where + 1]
         keep = np.ones(len(symbols), bool)
         keep[where + 1] = False
