@@ -33,8 +33,8 @@ from kestrelq.llm.common import Workspace, partitions, slices, table
 
 #: Fixed value: the pattern by which the lower-casing word vocabulary splits texts.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-BLOCK_IDS, PAIRS_A_ROUND, LEAST_COUNT, LEAST_GAIN, MOST_ROUNDS = 1 << 18, 2048, 8, 0.03, 12
-CACHE_WORDS, CACHE_CHARS = 700_000, 48
+BLOCK_IDS, PAIRS_A_ROUND, LEAST_COUNT, LEAST_GAIN, MOST_ROUNDS = 1 << 18, 2048, 8, 0.05, 12
+CACHE_WORDS, CACHE_CHARS = 900_000, 48
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 MAGIC, HEAD = b"KQRP", struct.Struct("<4sIIIIIQ")
 END_ID = 1
@@ -73,6 +73,7 @@ class WordEncoder:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.size = max([*spec["model"]["vocab"].values(), *self.special.values()]) + 1
         self.kind = "<u2" if self.size <= 1 << 16 else "<u4"
+        self.packed = [i.to_bytes(2 if self.kind == "<u2" else 4, "little") for i in range(self.size)]
         self.special_pattern = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))))
         self.pattern = regex.compile(PATTERN)
         self.char_of = {b: c for c, b in byte_alphabet().items()}
@@ -81,10 +82,12 @@ class WordEncoder:
 
     def _word(self, word: str) -> bytes:
         """Of a piece of lower-cased text without white space."""
-        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(word)))
+        return self._piece(word) if word.isalpha() else b"".join(map(self.pieces.__getitem__, self.pattern.findall(word)))
 
     def _piece(self, piece: str) -> bytes:
-        return np.array([t.id for t in self.model.tokenize("".join(map(self.char_of.__getitem__, piece.encode())))], self.kind).tobytes()
+        # the bytes of letters of ASCII stand for themselves
+        plain = piece if piece.isascii() and piece.isalpha() else "".join(map(self.char_of.__getitem__, piece.encode()))
+        return b"".join([self.packed[t.id] for t in self.model.tokenize(plain)])
 
     def _ordinary(self, text: str) -> bytes:
         if not text.isascii():
