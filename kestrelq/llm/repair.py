@@ -29,13 +29,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kestrelq.llm.bpe import byte_alphabet
-from kestrelq.llm.common import Workspace, partitions, slices, table
+from kestrelq.llm.common import Workspace, partitions, slices, table, trimmed
 
 #: Fixed value: the pattern by which the lower-casing word vocabulary splits texts.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-BLOCK_IDS, PAIRS_A_ROUND, LEAST_COUNT, LEAST_GAIN, MOST_ROUNDS = 1 << 18, 2048, 8, 0.05, 12
+BLOCK_IDS, PAIRS_A_ROUND, LEAST_COUNT, LEAST_GAIN, MOST_ROUNDS = 1 << 18, 4096, 8, 0.08, 12
 CACHE_WORDS, CACHE_CHARS = 900_000, 48
-SPREAD = np.uint64(0x9E3779B97F4A7C15)
+#: Signs that often end a word; an apostrophe, which can begin a piece of letters, is not among them.
+TAILS = ".,;:!?*#$%&|)]}\"-"
+SPREAD = 0x9E3779B97F4A7C15
 MAGIC, HEAD = b"KQRP", struct.Struct("<4sIIIIIQ")
 END_ID = 1
 
@@ -69,7 +71,7 @@ class WordEncoder:
 
         spec = json.loads(content)
         self.tokenizer = Tokenizer.from_str(content)
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.size = max([*spec["model"]["vocab"].values(), *self.special.values()]) + 1
         self.kind = "<u2" if self.size <= 1 << 16 else "<u4"
@@ -82,12 +84,18 @@ class WordEncoder:
 
     def _word(self, word: str) -> bytes:
         """Of a piece of lower-cased text without white space."""
-        return self._piece(word) if word.isalpha() else b"".join(map(self.pieces.__getitem__, self.pattern.findall(word)))
+        if word.isalpha():
+            return self._piece(word)
+        core = word.rstrip(TAILS)
+        if core.isalpha():  # letters and one piece of signs
+            return self.cache[core] + self.pieces[word[len(core) :]]
+        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(word)))
 
     def _piece(self, piece: str) -> bytes:
         # the bytes of letters of ASCII stand for themselves
         plain = piece if piece.isascii() and piece.isalpha() else "".join(map(self.char_of.__getitem__, piece.encode()))
-        return b"".join([self.packed[t.id] for t in self.model.tokenize(plain)])
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.tokenize(plain)])
 
     def _ordinary(self, text: str) -> bytes:
         if not text.isascii():
@@ -116,30 +124,36 @@ class WordEncoder:
 
 def compress(ids: np.ndarray, starts: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, each document's first symbol (and the end), and the rules; symbol base + k stands for rule k's pair."""
-    symbols = ids.astype(np.uint32)
+    # while all symbols fit into 16 bits, a pair is a 32-bit key; the rules are as many as leave it so
+    small = base < 1 << 16
+    most, half, wide = ((1 << 16) - base, 16, np.uint32) if small else ((1 << 31) - base, 32, np.uint64)
+    spread, drop = wide(SPREAD >> (64 - 2 * half) | 1), wide(2 * half - 16)
+    symbols = ids.astype(np.uint16 if small else np.uint32)
     last = np.zeros(len(symbols), bool)
     last[starts[1:] - 1] = True
     rules: list[np.ndarray] = []
     n_rules = 0
     for _ in range(MOST_ROUNDS):
-        if len(symbols) < 2:
+        a_round = min(PAIRS_A_ROUND, most - n_rules)
+        if len(symbols) < 2 or a_round < 1:
             break
-        key = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
-        ranked = np.sort(key[~last[:-1]])
+        key = (symbols[:-1].astype(wide) << wide(half)) | symbols[1:]
+        inner = ~last[:-1]
+        ranked = np.sort(key[inner])
         if not len(ranked):
             break
         edge = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1], [True])))
         count = np.diff(edge)
         often = np.flatnonzero(count >= LEAST_COUNT)
-        if len(often) > PAIRS_A_ROUND:
-            often = often[np.argpartition(count[often], len(often) - PAIRS_A_ROUND)[-PAIRS_A_ROUND:]]
+        if len(often) > a_round:
+            often = often[np.argpartition(count[often], len(often) - a_round)[-a_round:]]
         if count[often].sum() < LEAST_GAIN * len(symbols):
             break
         pairs = np.sort(ranked[edge[often]])
         # a small table of hashes leaves few positions to search for
         maybe = np.zeros(1 << 16, bool)
-        maybe[(pairs * SPREAD) >> np.uint64(48)] = True
-        where = np.flatnonzero(maybe[(key * SPREAD) >> np.uint64(48)] & ~last[:-1])
+        maybe[(pairs * spread) >> drop] = True
+        where = np.flatnonzero(maybe[(key * spread) >> drop] & inner)
         at = np.minimum(np.searchsorted(pairs, key[where]), len(pairs) - 1)
         found = pairs[at] == key[where]
         where, at = where[found], at[found]
@@ -152,7 +166,7 @@ def compress(ids: np.ndarray, starts: np.ndarray, base: int) -> tuple[np.ndarray
         keep = np.ones(len(symbols), bool)
         keep[where + 1] = False
         symbols, last = symbols[keep], last[keep]
-        rules.append(np.stack([(pairs >> np.uint64(32)).astype(np.uint32), (pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32)], axis=1))
+        rules.append(np.stack([pairs >> wide(half), pairs & wide((1 << half) - 1)], axis=1).astype(np.uint32))
         n_rules += len(pairs)
     first = np.concatenate(([0], np.flatnonzero(last) + 1))
     return symbols, first, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
@@ -260,7 +274,7 @@ def encode(docs: DataFrame, bounds: list[int], path: str, end_id: int = END_ID)
             made = [encoder.encode(t or "") + end for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([ids, pa.array(part.astype(np.int32)), pa.array(made, pa.binary())], ["doc_id", "part", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, part int, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run), "doc_id long, part int, ids binary")
 
 
 def pack(encoded: DataFrame, base: int, block_ids: int = BLOCK_IDS) -> DataFrame:
@@ -288,7 +302,7 @@ def pack(encoded: DataFrame, base: int, block_ids: int = BLOCK_IDS) -> DataFrame
         if doc_ids:
             yield flush()
 
-    return encoded.mapInArrow(run, "part int, sequence int, begin long, n_ids long, n_docs int, block binary")
+    return encoded.mapInArrow(trimmed(run), "part int, sequence int, begin long, n_ids long, n_docs int, block binary")
 
 
 def write_corpus(docs: DataFrame, target: str, path: str | None = None, end_id: int = END_ID, parts: int | None = None, block_ids: int = BLOCK_IDS) -> None:
@@ -328,7 +342,7 @@ def _read(spark: SparkSession, source: str, column: str, kind: pa.DataType, made
                 made = [made_of(ids[a:b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(block.doc_ids, pa.int64()), pa.array(starts[:-1] + offset[part] + begin, pa.int64()), pa.array(np.diff(starts), pa.int64()), pa.array(made, kind)], ["doc_id", "start", "n_tokens", name])
 
-    return blocks.select("part", "begin", "block").mapInArrow(run, f"doc_id long, start long, n_tokens long, {column}")
+    return blocks.select("part", "begin", "block").mapInArrow(trimmed(run), f"doc_id long, start long, n_tokens long, {column}")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
