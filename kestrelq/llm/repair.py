@@ -150,13 +150,15 @@ def compress(ids: np.ndarray, starts: np.ndarray, base: int) -> tuple[np.ndarray
         if count[often].sum() < LEAST_GAIN * len(symbols):
             break
         pairs = np.sort(ranked[edge[often]])
-        # a small table of hashes leaves few positions to search for
-        maybe = np.zeros(1 << 16, bool)
-        maybe[(pairs * spread) >> drop] = True
-        where = np.flatnonzero(maybe[(key * spread) >> drop] & inner)
-        at = np.minimum(np.searchsorted(pairs, key[where]), len(pairs) - 1)
-        found = pairs[at] == key[where]
-        where, at = where[found], at[found]
+        # a table of hashes leads to the one pair that a position may hold; of pairs that meet there one waits for the next round
+        slot, place = np.zeros(1 << 16, np.int32), (pairs * spread) >> drop
+        slot[place] = np.arange(len(pairs), dtype=np.int32)
+        alone = slot[place] == np.arange(len(pairs))
+        pairs = pairs[alone]
+        slot[place[alone]] = np.arange(len(pairs), dtype=np.int32)
+        at = slot[(key * spread) >> drop]
+        where = np.flatnonzero((pairs[at] == key) & inner)
+        at = at[where]
         # where chosen pairs overlap, every other one of a run is replaced, from the left
         run = np.flatnonzero(np.concatenate(([True], np.diff(where) != 1)))
         even = (np.arange(len(where)) - np.repeat(run, np.diff(np.append(run, len(where))))) % 2 == 0
@@ -223,24 +225,18 @@ class Block:
         self.doc_ids = [None if x else i for i, x in zip(ids.tolist(), null.tolist(), strict=True)]
         self.first, self.starts = take("<u8", n + 1).astype(np.int64), take("<u8", n + 1).astype(np.int64)
         self.rules, self.lengths, self.symbols = take("<u4", 2 * n_rules).reshape(-1, 2), take("<u4", n_rules).astype(np.int64), take(f"<u{width}", n_symbols)
-        self.flat, _ = expansions(self.rules, self.base)
-        self.begin = np.cumsum(self.lengths) - self.lengths
+        # one table: plain ids stand for themselves, then what the rules stand for
+        self.flat = np.concatenate((np.arange(self.base, dtype=np.uint32), expansions(self.rules, self.base)[0]))
+        self.sizes = np.concatenate((np.ones(self.base, np.int64), self.lengths))
+        self.begin = np.cumsum(self.sizes) - self.sizes
 
     def _sizes(self, symbols: np.ndarray) -> np.ndarray:
-        rule = symbols >= self.base
-        out = np.ones(len(symbols), np.int64)
-        out[rule] = self.lengths[symbols[rule].astype(np.int64) - self.base]
-        return out
+        return self.sizes[symbols]
 
     def _expand(self, symbols: np.ndarray) -> np.ndarray:
         size = self._sizes(symbols)
-        out = np.repeat(symbols.astype(np.uint32), size)
-        rule = np.flatnonzero(symbols >= self.base)
-        if len(rule):
-            begin, length = (np.cumsum(size) - size)[rule], size[rule]
-            step = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-            out[np.repeat(begin, length) + step] = self.flat[np.repeat(self.begin[symbols[rule].astype(np.int64) - self.base], length) + step]
-        return out
+        shift = self.begin[symbols] - (np.cumsum(size) - size)
+        return self.flat[np.repeat(shift, size) + np.arange(size.sum())]
 
     def all(self) -> np.ndarray:
         return self._expand(self.symbols)
