@@ -197,7 +197,8 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: st
     """Adds `ids`, binary: the text's ids as little-endian unsigned 32-bit integers; and `checked`, if named: whether they decode to the text."""
     content = _Content(docs.sparkSession, path or default_vocabulary())
     made_here = {ids, checked}
-    schema = T.StructType([f for f in docs.schema if f.name not in made_here] + [T.StructField(ids, T.BinaryType())] + [T.StructField(checked, T.BooleanType())] * bool(checked))
+    added = [T.StructField(ids, T.BinaryType())] + ([T.StructField(checked, T.BooleanType())] if checked else [])
+    schema = T.StructType([f for f in docs.schema if f.name not in made_here] + added)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(content)
