@@ -59,7 +59,8 @@ class Engine:
         with self._settings():
             df = self._analysed(text)
             try:
-                explain.execution(df).executedPlan()  # planned under these settings, whenever it runs
+                if self.config.settings() != EngineConfig(strict=self.config.strict).settings():
+                    explain.execution(df).executedPlan()  # planned under these settings, whenever it runs
             except Exception as e:
                 raise translated(e, sql) from e
             return df

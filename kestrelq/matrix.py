@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -83,15 +84,17 @@ OWN: dict[str, str] = {
 ORACLE: dict[str, str] = {k: v.replace("SUM(l_linenumber)", "CAST(SUM(l_linenumber) AS BIGINT)").replace("SUM(a)", "CAST(SUM(a) AS BIGINT)") for k, v in OWN.items()}
 
 
-def engine(spark: SparkSession, sf_dir: str, config: EngineConfig | None = None) -> Engine:
+def engine(spark: SparkSession, sf_dir: str, config: EngineConfig | None = None, text: str | None = None) -> Engine:
+    """With all tables, or with those that a query names: each table's footers cost a job to read."""
     made = Engine(spark, config)
     for name in STAR:
-        made.catalog.parquet(name, f"{sf_dir}/{name}.parquet")
+        if text is None or re.search(rf"\b{name}\b", text, re.I):
+            made.catalog.parquet(name, f"{sf_dir}/{name}.parquet")
     return made
 
 
 def _sql(text: str, config: EngineConfig | None = None) -> Query:
-    return lambda spark, sf_dir: engine(spark, sf_dir, config).sql(text)
+    return lambda spark, sf_dir: engine(spark, sf_dir, config, text).sql(text)
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
