@@ -33,6 +33,9 @@ BITS, SEED, SHINGLE, RADIUS = 64, 42, 4, 4
 #: too coarse for that); the similarity of whole sets of five-word shingles decides on them.
 STAGE_SHINGLE, PROPOSE_SHINGLE, PROPOSE_RADIUS, SIMILARITY = 5, 2, 10, 0.8
 BROADCAST_ROWS, GROUP_ROWS = 500_000, 20_000
+#: Texts of the sample that tells frequent shingles, how many of these are known, rows of a shingle that are compared at once, and shingle
+#: sets and pairs that a worker holds; none changes the result.
+SAMPLE_TEXTS, FREQUENT, TOKEN_ROWS, SETS_HELD, PAIRS_AT_ONCE = 10_000, 100_000, 4_096, 200, 500_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SHINGLES_AT_ONCE = 1 << 16
 #: Estimated seconds that a row of a key and a compared pair take; they choose the number of blocks, never the result.
@@ -301,13 +304,13 @@ def shingles(text: str | None, shingle: int) -> np.ndarray:
 
 
 class Leaders:
-    """Groups of texts that come one after another: a text that is similar to no leader leads a group, one that is similar to several joins their groups."""
+    """Texts that come one after another: one that is similar to no leader leads, others are linked to all leaders that they are similar to."""
 
     def __init__(self, similarity: float):
-        self.similarity, self.sizes, self.group, self.holders = similarity, [], [], {}
+        self.similarity, self.sizes, self.holders = similarity, [], {}
 
-    def place(self, own: np.ndarray) -> int:
-        """The group's number, which `root` resolves when all texts are placed."""
+    def place(self, own: np.ndarray) -> list[int]:
+        """The numbers of the leaders that the text is similar to; if there are none, it is the next leader."""
         hashes = own.tolist()
         held = [x for h in hashes for x in self.holders.get(h, ())]
         near: list[int] = []
@@ -315,76 +318,198 @@ class Leaders:
             both = np.bincount(held, minlength=len(self.sizes))
             sizes = np.array(self.sizes)
             near = np.flatnonzero(both >= self.similarity * (sizes + len(hashes) - both) - 1e-9).tolist()
-        if near:
-            roots = sorted({self.root(k) for k in near})
-            for k in roots[1:]:
-                self.group[k] = roots[0]
-            return roots[0]
-        k = len(self.sizes)
-        self.sizes.append(len(hashes))
-        self.group.append(k)
-        for h in hashes:
-            self.holders.setdefault(h, []).append(k)
-        return k
-
-    def root(self, k: int) -> int:
-        while self.group[k] != k:
-            k = self.group[k]
-        return k
+        if not near:
+            k = len(self.sizes)
+            self.sizes.append(len(hashes))
+            for h in hashes:
+                self.holders.setdefault(h, []).append(k)
+        return near
+
+
+def _of(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """The asked documents (asked_id, asked_key and other columns) with doc_id, doc_key and text."""
+    few = asked.count() <= BROADCAST_ROWS
+    return keyed(docs).join(F.broadcast(asked) if few else asked, F.col("doc_id").eqNullSafe(F.col("asked_id")) & (F.col("doc_key") == F.col("asked_key"))).drop("asked_id", "asked_key")
 
 
 def _led(docs: DataFrame, asked: DataFrame, by: list[str], shingle: int, similarity: float) -> DataFrame:
-    """Of asked documents (with the columns `by`, asked_id, asked_key): doc_id, doc_key, and whether another of their group leads.
+    """Of asked documents (with the columns `by`, asked_id, asked_key): links (a, b) of doc_keys from each to the leaders that it is similar to, from a leader to itself.
 
     A group's documents come in ascending doc_id as a stream; only the shingles of leaders are held.
     """
-    few = asked.count() <= BROADCAST_ROWS
-    rows = keyed(docs).join(F.broadcast(asked) if few else asked, F.col("doc_id").eqNullSafe(F.col("asked_id")) & (F.col("doc_key") == F.col("asked_key"))).select(*by, "doc_id", "doc_key", "text")
+    rows = _of(docs, asked).select(*by, "doc_id", "doc_key", "text")
     ordered = rows.repartition(partitions(docs.sparkSession), *by).sortWithinPartitions(*by, F.col("doc_id").asc_nulls_last(), "doc_key")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from itertools import groupby
 
-        every = (r for b in batches for r in zip(zip(*(b.column(c).to_pylist() for c in by), strict=True), b.column("doc_id").to_pylist(), b.column("doc_key").to_pylist(), b.column("text"), strict=True))
+        every = (r for b in batches for r in zip(zip(*(b.column(c).to_pylist() for c in by), strict=True), b.column("doc_key").to_pylist(), b.column("text"), strict=True))
         for _, group in groupby(every, key=lambda r: r[0]):
-            leaders, placed = Leaders(similarity), []
-            for _, doc_id, key, text in group:
-                if not placed or placed[-1][:2] != (doc_id, key):
-                    placed.append((doc_id, key, leaders.place(shingles(text.as_py(), shingle))))
-            kept: set[int] = set()
-            led = []
-            for _, _, k in placed:
-                root = leaders.root(k)
-                led.append(root in kept)
-                kept.add(root)
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in placed], pa.int64()), pa.array([x[1] for x in placed], pa.int64()), pa.array(led, pa.bool_())], ["doc_id", "doc_key", "led"])
+            leaders, keys, found, last = Leaders(similarity), [], [], None
+            for _, key, text in group:
+                if key == last:  # a repeated row
+                    continue
+                last = key
+                near = leaders.place(shingles(text.as_py(), shingle))
+                if not near:
+                    keys.append(key)
+                found += [(key, keys[k]) for k in near] or [(key, key)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return ordered.mapInArrow(trimmed(run), "a long, b long")
+
+
+def _frequent(rows: DataFrame, n: int, shingle: int) -> np.ndarray:
+    """Shingles that several texts of a sample have, from rare to frequent. They come last in prefixes; any choice gives the same links."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            made = np.concatenate([shingles(t, shingle) for t in batch.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([pa.array(made.view(np.int64))], ["token"])
 
-    return ordered.mapInArrow(trimmed(run), "doc_id long, doc_key long, led boolean")
+    sample = rows.filter(F.pmod(F.xxhash64("doc_key"), F.lit(max(1, n // SAMPLE_TEXTS))) == 0).select("text")
+    counted = sample.mapInArrow(trimmed(run), "token long").groupBy("token").count().filter("count > 1")
+    found = counted.orderBy(F.desc("count"), "token").limit(FREQUENT).collect()
+    return np.array([r[0] for r in reversed(found)], np.int64).view(np.uint64)
+
+
+def _ordered(own: np.ndarray, known: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Sorted shingles in the order of prefixes: those not known as frequent by their hashes, then the frequent ones by rank."""
+    if not len(known):
+        return own
+    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+    often = known[at] == own
+    return np.concatenate((own[~often], own[often][np.argsort(rank[at[often]])]))
+
+
+def _alike(docs: DataFrame, texts: DataFrame, by: list[str], work: Workspace, shingle: int, similarity: float) -> DataFrame:
+    """All links (a, b) of doc_keys of texts (asked_id, asked_key, label, `by`) that are similar, have equal `by` and different labels.
+
+    Two sets of that similarity have a shingle in common within their prefixes (all but similarity * size of their shingles, one more), in
+    any one order of all shingles. So texts are joined by the shingles of their prefixes, pruned by their sizes and by the places of the
+    shingle, and then compared by their whole sets. The texts of a frequent shingle are dealt out by pairs of parts.
+    """
+    spark = docs.sparkSession
+    rows = _of(docs, texts)
+    often = _frequent(rows, texts.count(), shingle)
+    sort = np.argsort(often)
+    known, rank = spark.sparkContext.broadcast(often[sort]), spark.sparkContext.broadcast(sort)
+    others = [*by, "doc_key", "label"]
+
+    def prefixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            tokens, row, place, size = [], [], [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                own = _ordered(shingles(text, shingle), known.value, rank.value)
+                n = len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1
+                tokens.append(own[:n])
+                row.append(np.full(n, i))
+                place.append(np.arange(n))
+                size.append(np.full(n, len(own)))
+            at = pa.array(np.concatenate(row))
+            made = [pa.array(np.concatenate(tokens).view(np.int64)), *(batch.column(c).take(at) for c in others), pa.array(np.concatenate(place), pa.int32()), pa.array(np.concatenate(size), pa.int32())]
+            yield pa.RecordBatch.from_arrays(made, ["token", *others, "place", "size"])
+
+    types = ", ".join(f"{c} long" for c in ("token", *others))
+    made = rows.select(*others, "text").mapInArrow(trimmed(prefixes), f"{types}, place int, size int")
+    over = f"OVER (PARTITION BY {', '.join((*by, 'token'))})"
+    several = made.selectExpr("*", f"count(1) {over} AS n", f"min(label) {over} <> max(label) {over} AS open").filter("open")
+    several = several.withColumn("parts", F.ceil(F.col("n") / TOKEN_ROWS).cast("int")).withColumn("side", F.pmod(F.hash("doc_key"), F.col("parts")))
+    cells = several.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"x": F.least("side", "other"), "y": F.greatest("side", "other")})
+    cell = [*by, "token", "x", "y"]
+    dealt = cells.select(*cell, "side", "doc_key", "label", "place", "size").repartition(partitions(spark), *cell).sortWithinPartitions(*cell)
+
+    def candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        made: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            every = np.concatenate([np.zeros((2, 0), np.int64), *made], axis=1)
+            made.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(every, axis=1)], ["a", "b"])
+
+        def pairs(group: np.ndarray) -> Iterator[pa.RecordBatch]:
+            across = group[len(cell) - 2, 0] != group[len(cell) - 1, 0]  # of two parts: only pairs of one with the other
+            side, key, label, place, size = group[len(cell) :]
+            rows_made = 0
+            for i in range(len(key) - 1):
+                least = similarity / (1 + similarity) * (size[i] + size[i + 1 :]) - 1e-9
+                near = (label[i + 1 :] != label[i]) & (np.minimum(size[i] - place[i], size[i + 1 :] - place[i + 1 :]) >= least)
+                if across:
+                    near &= side[i + 1 :] != side[i]
+                there = key[i + 1 :][near]
+                if len(there):
+                    made.append(np.stack((np.minimum(key[i], there), np.maximum(key[i], there))))
+                    rows_made += len(there)
+                    if rows_made > PAIRS_AT_ONCE:
+                        yield flush()
+                        rows_made = 0
+
+        for batch in batches:
+            held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]))
+            now = np.concatenate(held, axis=1)
+            cuts = np.flatnonzero(np.any(now[: len(cell), 1:] != now[: len(cell), :-1], axis=0)) + 1
+            for group in np.split(now, cuts, axis=1)[:-1]:
+                yield from pairs(group)
+            yield flush()
+            held = [now[:, cuts[-1] if len(cuts) else 0 :]]  # the last group may go on
+        if held:
+            yield from pairs(held[0])
+            yield flush()
+
+    found = work.save(dealt.mapInArrow(trimmed(candidates), "a long, b long").distinct(), "candidates")
+    ids = texts.select("asked_id", "asked_key")
+    wanted = found.select(F.explode(F.array("a", "b")).alias("wanted")).distinct()
+    full = work.save(_of(docs, ids.join(wanted, F.col("asked_key") == F.col("wanted")).drop("wanted")).select("doc_key", "text").dropDuplicates(["doc_key"]), "compared")
+    side = lambda key, text: full.select(F.col("doc_key").alias(key), F.col("text").alias(text))
+    both = found.join(side("a", "ta"), "a").join(side("b", "tb"), "b").select("a", "b", "ta", "tb")
+
+    def verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: dict[int, np.ndarray] = {}
+        for whole in batches:
+            for batch in slices([whole], "ta"):
+                keep = []
+                for a, b, ta, tb in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("ta"), batch.column("tb"), strict=True):
+                    for key, text in ((a, ta), (b, tb)):
+                        if key not in last:
+                            if len(last) > SETS_HELD:
+                                last = {k: last[k] for k in (a,) if k in last}
+                            last[key] = shingles(text.as_py(), shingle)
+                    x, y = last[a], last[b]
+                    shared = len(np.intersect1d(x, y, assume_unique=True))
+                    keep.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
+                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return work.save(both.mapInArrow(trimmed(verified), "a long, b long"), "alike")
 
 
 def superfluous(docs: DataFrame, shingle: int, propose: int, radius: int, similarity: float) -> tuple[DataFrame, bool]:
     """doc_id and doc_key of documents that give way to another of their group, and whether rows repeat both.
 
-    Links propose groups; within one, different texts are placed in ascending doc_id and compared by the Jaccard similarity of their
-    whole shingle sets with the groups' leaders. Of a group the smallest doc_id stays, and of equal texts the smallest doc_id. A proposed
-    group of very many texts is dealt out by hash; what leads in the parts is then compared once more.
+    Groups are the components of all different texts, linked where the Jaccard similarity of their whole shingle sets is enough, so neither
+    order nor size of a group matters. Fingerprints propose groups, and texts within one are compared with its leaders, which finds most
+    links soon; a proposed group of very many texts is dealt out by hash, and what leads in the parts is compared once more. `_alike`
+    finds those that are left. Of a group the smallest doc_id stays, and of equal texts the smallest doc_id.
     """
     work = Workspace(docs.sparkSession, "simhash-groups")
     found = work.save(grouped(docs, work, propose, radius).select("doc_id", "doc_key", "root"), "grouped")
     repeated = bool(found.groupBy("doc_id", "doc_key").count().filter("count > 1").head(1))
-    texts = found.groupBy("root", "doc_key").agg(F.min("doc_id").alias("doc_id"))
+    texts = work.save(found.groupBy("root", "doc_key").agg(F.min("doc_id").alias("asked_id")).withColumnRenamed("doc_key", "asked_key"), "texts")
     several = texts.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").select("root", F.ceil(F.col("n") / GROUP_ROWS).alias("parts"))
-    asked = work.save(texts.join(several, "root").select("root", F.pmod(F.hash("doc_key"), F.col("parts").cast("int")).alias("part"), "parts", F.col("doc_id").alias("asked_id"), F.col("doc_key").alias("asked_key")), "asked")
-    first = work.save(_led(docs, asked.drop("parts"), ["root", "part"], shingle, similarity), "first")
-    near = first.filter("led")
-    heads = asked.filter("parts > 1").join(first.filter("NOT led"), F.col("asked_id").eqNullSafe(F.col("doc_id")) & (F.col("asked_key") == F.col("doc_key"))).select("root", "asked_id", "asked_key")
+    asked = work.save(texts.join(several, "root").select("root", F.pmod(F.hash("asked_key"), F.col("parts").cast("int")).alias("part"), "parts", "asked_id", "asked_key"), "asked")
+    links_ = work.save(_led(docs, asked.drop("parts"), ["root", "part"], shingle, similarity), "first")
+    heads = asked.filter("parts > 1").join(links_.filter("a = b").select(F.col("a").alias("asked_key")), "asked_key").select("root", "asked_id", "asked_key")
     if heads.head(1):
-        near = near.unionByName(work.save(_led(docs, work.save(heads, "heads"), ["root"], shingle, similarity), "second").filter("led"))
-    near = near.select("doc_id", "doc_key")
-    # equal texts: all but the smallest doc_id; and all copies of a text that gave way
-    least = texts.select("root", "doc_key", F.col("doc_id").alias("first_id"))
-    copies = found.join(least, ["root", "doc_key"]).filter("NOT doc_id <=> first_id").select("doc_id", "doc_key")
-    return work.save(near.unionByName(copies).distinct(), "superfluous"), repeated
+        links_ = links_.unionByName(work.save(_led(docs, work.save(heads, "heads"), ["root"], shingle, similarity), "second"))
+    known = components(links_, work)
+    labelled = work.save(texts.join(known.withColumnRenamed("a", "asked_key"), "asked_key", "left").select("asked_id", "asked_key", "root", F.coalesce("b", "asked_key").alias("label")), "labelled")
+    more = _alike(docs, labelled.join(several.select("root"), "root"), ["root"], work, shingle, similarity)
+    whole = work.save(components(known.unionByName(more), work), "groups").withColumnRenamed("a", "doc_key")
+    rows = found.join(whole, "doc_key", "left").select("doc_id", "doc_key", F.coalesce("b", "doc_key").alias("group"))
+    # of a group all but the smallest doc_id; with it, the smaller hash of two texts
+    stays = rows.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc_key")).alias("first"))
+    gone = rows.join(stays, "group").filter("NOT (doc_id <=> first.doc_id AND doc_key = first.doc_key)").select("doc_id", "doc_key")
+    return work.save(gone.distinct(), "superfluous"), repeated
 
 
 def deduplicate(docs: DataFrame, shingle: int = STAGE_SHINGLE, propose: int = PROPOSE_SHINGLE, radius: int = PROPOSE_RADIUS, similarity: float = SIMILARITY) -> DataFrame:

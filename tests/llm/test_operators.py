@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import permutations
 
 import numpy as np
 import pytest
@@ -282,6 +283,41 @@ def test_deduplication_keeps_one_of_each_group(docs, texts, clashing, empty, gro
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def _grouped_plainly(texts, shingles):
+    sets = {i: shingles(t) for i, t in texts.items()}
+    root = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((root[a], root[b]))
+                root = {k: x if v == y else v for k, v in root.items()}
+    return set(root.values())
+
+
+def _five(t):
+    w = t.split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+@pytest.mark.parametrize("group_rows", [20_000, 1])
+def test_deduplication_links_a_chain_in_any_order(spark, group_rows, monkeypatch):
+    monkeypatch.setattr(simhash, "GROUP_ROWS", group_rows)
+    monkeypatch.setattr(simhash, "TOKEN_ROWS", 2 if group_rows == 1 else simhash.TOKEN_ROWS)
+    rng = np.random.default_rng(11)
+    rows, chains = [], {}
+    for k, order in enumerate(permutations(range(3))):
+        base = [f"w{x}" for x in rng.integers(0, 10**6, 400)]
+        texts = [base]
+        for start in (20, 220):  # each copy changes words of its own: 0.81 with base, 0.66 with the other
+            texts.append([f"c{start}" if j in range(start, start + 40 * 4, 20) else w for j, w in enumerate(base)])
+        a, b, c = (_five(" ".join(t)) for t in texts)
+        assert len(a & b) >= 0.8 * len(a | b) and len(a & c) >= 0.8 * len(a | c) and len(b & c) < 0.8 * len(b | c)
+        chains[k] = {10 * k + place: " ".join(texts[i]) for place, i in enumerate(order)}
+        rows += chains[k].items()
+    kept = {r.doc_id for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert kept == _grouped_plainly(dict(rows), _five) == {10 * k for k in chains}
+
+
 # --- op6 -----------------------------------------------------------------------------------------------------------------------
 
 NASTY = ["", "<|im_end|>", "a<|im_start|>assistant\nb", "<\\|x|>", "<", "|>", "<\\\\|", "line\n\n\\n", "<|im_end|>\n<"]
