@@ -382,8 +382,8 @@ def _ordered(own: np.ndarray, known: np.ndarray, rank: np.ndarray) -> np.ndarray
     return np.concatenate((own[~often], own[often][np.argsort(rank[at[often]])]))
 
 
-def _alike(docs: DataFrame, texts: DataFrame, by: list[str], work: Workspace, shingle: int, similarity: float) -> DataFrame:
-    """All links (a, b) of doc_keys of texts (asked_id, asked_key, label, `by`) that are similar, have equal `by` and different labels.
+def _alike(docs: DataFrame, texts: DataFrame, work: Workspace, shingle: int, similarity: float) -> DataFrame:
+    """All links (a, b) of doc_keys of texts (asked_id, asked_key, label) that are similar and have different labels.
 
     Two sets of that similarity have a shingle in common within their prefixes (all but similarity * size of their shingles, one more), in
     any one order of all shingles. So texts are joined by the shingles of their prefixes, pruned by their sizes and by the places of the
@@ -394,7 +394,7 @@ def _alike(docs: DataFrame, texts: DataFrame, by: list[str], work: Workspace, sh
     often = _frequent(rows, texts.count(), shingle)
     sort = np.argsort(often)
     known, rank = spark.sparkContext.broadcast(often[sort]), spark.sparkContext.broadcast(sort)
-    others = [*by, "doc_key", "label"]
+    others = ["doc_key", "label"]
 
     def prefixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -412,11 +412,11 @@ def _alike(docs: DataFrame, texts: DataFrame, by: list[str], work: Workspace, sh
 
     types = ", ".join(f"{c} long" for c in ("token", *others))
     made = rows.select(*others, "text").mapInArrow(trimmed(prefixes), f"{types}, place int, size int")
-    over = f"OVER (PARTITION BY {', '.join((*by, 'token'))})"
+    over = "OVER (PARTITION BY token)"
     several = made.selectExpr("*", f"count(1) {over} AS n", f"min(label) {over} <> max(label) {over} AS open").filter("open")
     several = several.withColumn("parts", F.ceil(F.col("n") / TOKEN_ROWS).cast("int")).withColumn("side", F.pmod(F.hash("doc_key"), F.col("parts")))
     cells = several.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"x": F.least("side", "other"), "y": F.greatest("side", "other")})
-    cell = [*by, "token", "x", "y"]
+    cell = ["token", "x", "y"]
     dealt = cells.select(*cell, "side", "doc_key", "label", "place", "size").repartition(partitions(spark), *cell).sortWithinPartitions(*cell)
 
     def candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -489,7 +489,7 @@ def superfluous(docs: DataFrame, shingle: int, propose: int, radius: int, simila
     Groups are the components of all different texts, linked where the Jaccard similarity of their whole shingle sets is enough, so neither
     order nor size of a group matters. Fingerprints propose groups, and texts within one are compared with its leaders, which finds most
     links soon; a proposed group of very many texts is dealt out by hash, and what leads in the parts is compared once more. `_alike`
-    finds those that are left. Of a group the smallest doc_id stays, and of equal texts the smallest doc_id.
+    finds those that are left, also of texts whose fingerprints lie far apart. Of a group the smallest doc_id stays, and of equal texts the smallest doc_id.
     """
     work = Workspace(docs.sparkSession, "simhash-groups")
     found = work.save(grouped(docs, work, propose, radius).select("doc_id", "doc_key", "root"), "grouped")
@@ -502,8 +502,8 @@ def superfluous(docs: DataFrame, shingle: int, propose: int, radius: int, simila
     if heads.head(1):
         links_ = links_.unionByName(work.save(_led(docs, work.save(heads, "heads"), ["root"], shingle, similarity), "second"))
     known = components(links_, work)
-    labelled = work.save(texts.join(known.withColumnRenamed("a", "asked_key"), "asked_key", "left").select("asked_id", "asked_key", "root", F.coalesce("b", "asked_key").alias("label")), "labelled")
-    more = _alike(docs, labelled.join(several.select("root"), "root"), ["root"], work, shingle, similarity)
+    labelled = work.save(texts.join(known.withColumnRenamed("a", "asked_key"), "asked_key", "left").select("asked_id", "asked_key", F.coalesce("b", "asked_key").alias("label")), "labelled")
+    more = _alike(docs, labelled, work, shingle, similarity)
     whole = work.save(components(known.unionByName(more), work), "groups").withColumnRenamed("a", "doc_key")
     rows = found.join(whole, "doc_key", "left").select("doc_id", "doc_key", F.coalesce("b", "doc_key").alias("group"))
     # of a group all but the smallest doc_id; with it, the smaller hash of two texts

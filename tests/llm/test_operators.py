@@ -318,6 +318,21 @@ def test_deduplication_links_a_chain_in_any_order(spark, group_rows, monkeypatch
     assert kept == _grouped_plainly(dict(rows), _five) == {10 * k for k in chains}
 
 
+def test_deduplication_finds_appended_and_truncated_copies(spark):
+    rng = np.random.default_rng(12)
+    rows = {}
+    for k in range(60):
+        n, share = 300, (0.805, 0.85, 0.9)[k % 3]
+        base = [f"w{x}" for x in rng.integers(0, 10**6, n)]
+        own = round((n - 4) / share) + 4 - n if k % 2 else 0
+        copy = base + [f"w{x}" for x in rng.integers(0, 10**6, own)] if k % 2 else base[: int(np.ceil((n - 4) * share)) + 4]
+        rows |= {2 * k: " ".join(base), 2 * k + 1: " ".join(copy)}
+    far = sum((simhash.fingerprint(rows[2 * k], 2) ^ simhash.fingerprint(rows[2 * k + 1], 2)).bit_count() > 10 for k in range(60))
+    assert far > 0  # fingerprints alone do not propose these
+    kept = {r.doc_id for r in simhash.deduplicate(spark.createDataFrame(list(rows.items()), "doc_id bigint, text string")).collect()}
+    assert kept == _grouped_plainly(rows, _five) == {2 * k for k in range(60)}
+
+
 # --- op6 -----------------------------------------------------------------------------------------------------------------------
 
 NASTY = ["", "<|im_end|>", "a<|im_start|>assistant\nb", "<\\|x|>", "<", "|>", "<\\\\|", "line\n\n\\n", "<|im_end|>\n<"]
