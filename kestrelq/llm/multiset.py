@@ -1,7 +1,7 @@
 """Document fingerprints as homomorphic multiset hashes, in DataFrame operations only.
 
 A text is the multiset of its paragraphs (lines). Each paragraph is hashed to a wide vector: two 64-bit hashes of the whole paragraph as
-four words modulo 2^32, and 64 words modulo 2^16, where every pair of neighbouring pieces of the paragraph adds +1 or -1 to each word, as
+four words modulo 2^32, and 64 words modulo 2^32, where every pair of neighbouring pieces of the paragraph adds +1 or -1 to each word, as
 a bit of its hash says. A fingerprint is the sum of its paragraphs' vectors, each word modulo its power of two, with the number of
 pairs. So the order of paragraphs doesn't matter, and a paragraph is inserted or deleted by adding or subtracting its fingerprint
 (`add`, `subtract`). The first four words decide equality. The inner product of the 64 signed words estimates how many pairs two
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from kestrelq.llm.common import Workspace, release, table
 
-LANES, SUMS, WORD, EQUAL = 64, 32, 1 << 16, 1 << 32
+LANES, SUMS, WORD, EQUAL = 64, 32, 1 << 32, 1 << 32
 #: Buckets of doc_id: SIDE * SIDE at most, found by two searches of SIDE edges.
 SIDE = 32
 #: A bit of each half of a 64-bit hash.
@@ -55,7 +55,7 @@ def vectors(texts: DataFrame, key: str, text: str) -> DataFrame:
         key,
         "pairs",
         F.array(*(F.pmod(F.col(f"e{i}"), F.lit(EQUAL)) for i in range(4))).alias("equal"),
-        F.array(*(F.pmod(2 * up - F.col("pairs"), F.lit(WORD)).cast("int") for up in ups)).alias("words"),
+        F.array(*(F.pmod(2 * up - F.col("pairs"), F.lit(WORD)) for up in ups)).alias("words"),
     )
 
 
@@ -77,9 +77,9 @@ def subtract(a: Column, b: Column) -> Column:
 
 
 def as_text(v: Column) -> Column:
-    """Pairs and equality words as 8 hexadecimal digits each, the other words as 4."""
+    """Pairs and all words as 8 hexadecimal digits each."""
     digits = lambda x, n: F.lpad(F.lower(F.hex(x)), n, "0")
-    return F.concat(digits(v["pairs"], 8), F.array_join(F.transform(v["equal"], lambda x: digits(x, 8)), ""), F.array_join(F.transform(v["words"], lambda x: digits(x, 4)), ""))
+    return F.concat(digits(v["pairs"], 8), F.array_join(F.transform(v["equal"], lambda x: digits(x, 8)), ""), F.array_join(F.transform(v["words"], lambda x: digits(x, 8)), ""))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -137,7 +137,7 @@ def digests(docs: DataFrame) -> DataFrame:
     made = vectors(both, "id", "t")
     path = work.write(made.withColumn("kind", F.lit(0)).unionByName(facts.withColumn("kind", F.lit(1)), allowMissingColumns=True), "parts", ["kind"])
     release(docs.sparkSession)
-    parts = docs.sparkSession.read.schema("id long, pairs long, equal array<bigint>, words array<int>, row long, doc_id long, next_row long, n_chars long, edited_sha256 string, kind int").parquet(path)
+    parts = docs.sparkSession.read.schema("id long, pairs long, equal array<bigint>, words array<bigint>, row long, doc_id long, next_row long, n_chars long, edited_sha256 string, kind int").parquet(path)
     prints = parts.filter("kind = 0").select("id", F.struct("pairs", "equal", "words").alias("print"))
     side = lambda odd, key, name: prints.filter(F.col("id").bitwiseAND(1) == odd).select(F.shiftright("id", 1).alias(key), F.col("print").alias(name))
     facts = parts.filter("kind = 1").select("row", "doc_id", "next_row", "n_chars", "edited_sha256")

@@ -463,6 +463,14 @@ def test_multiset_likeness(spark):
     assert two.near_next < 0.35 < 0.45 < two.near_edited < 0.9
 
 
+@pytest.mark.parametrize("text", [" ".join(["word"] * 100_000), "\n".join(["two equal words"] * 20_000)])
+def test_multiset_likeness_of_very_long_repeats(spark, text):
+    found = multiset.digests(spark.createDataFrame([(2, text), (1, text[: len(text) // 3])], "doc_id bigint, text string")).collect()
+    two = next(r for r in found if r.doc_id == 2)
+    # the other text has a third of the pairs: 2 * (1/3) / (1 + 1/9)
+    assert two.near_edited > 0.9 and abs(two.near_next - 0.6) < 0.05
+
+
 def test_multiset_edges(spark, empty):
     assert multiset.digests(empty).count() == 0
     alone = multiset.digests(spark.createDataFrame([(None, None)], "doc_id bigint, text string")).collect()
