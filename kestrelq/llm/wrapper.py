@@ -1,11 +1,12 @@
 """HTML extraction by wrapper induction.
 
-For each host some pages are parsed into trees and aligned by simple tree matching. Runs of sibling leaves with one label count as one
-node, so that articles of any number of paragraphs align. An aligned node whose text is the same on the pages is template; one whose
-text varies is a slot. The wrapper of a host is the path of the container that holds most text of its slots, without what its tags or
-attributes name as menus, headers, footers, sidebars, notices, adverts, forms or comments, and the constant texts within it. A page
-is extracted by its host's wrapper: the blocks of that container less the constant ones. Where a host has one page, or the path
-leads nowhere, the container is found on the page by the same measure.
+For each host some pages are parsed into trees. On each page heuristics choose the container: an article or main element, an element
+whose class, id or role names the article, or else the innermost one with nearly all text, without what its tags or attributes name as
+menus, headers, footers, sidebars, notices, adverts, forms or comments. The path that holds most block text on the pages is the host's.
+Within it the pages are aligned by simple tree matching, where runs of sibling leaves with one label count as one node, so that articles
+of any number of paragraphs align; a text that is the same on the pages is template. In an article or main element constant plain
+paragraphs stay, and constant blocks with inline markup are not recognised. Slots are not measured. A page is extracted by its host's
+wrapper: the blocks of that container less the constant ones. Where the path leads nowhere, the container is chosen on the page alone.
 
 At most `SAMPLE` pages a host are aligned, those with the smallest hashes of page_id, and of these only pages that share few blocks with
 those taken before: copies would make an article look like template. Sampled ids and wrappers are broadcast while they are few
