@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +47,27 @@ def slices(batches: Iterable[pa.RecordBatch], text: str, chars: int = SLICE_CHAR
             yield batch.slice(start)
 
 
+class WordHashes:
+    """64-bit hashes of words, kept in a bounded cache."""
+
+    def __init__(self, most: int = 400_000):
+        self.most, self.cache = most, {}
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        from xxhash import xxh64_intdigest
+
+        if len(self.cache) > self.most:
+            self.cache.clear()
+        for w in set(words).difference(self.cache):
+            self.cache[w] = xxh64_intdigest(w, 7)
+        return np.fromiter(map(self.cache.__getitem__, words), np.uint64, len(words))
+
+
+def factors(window: int, n: int) -> np.ndarray:
+    """Odd factors of n independent multilinear hashes of so many words."""
+    return np.random.default_rng(20).integers(0, 1 << 63, (n, window), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
 def trimmed(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A function for mapInArrow whose worker gives freed memory back when a task ends: workers wait idle, and others start beside them."""
 

@@ -25,17 +25,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrelq.llm.common import Workspace, partitions, slices, table, trimmed
+from kestrelq.llm.common import WordHashes, Workspace, factors, partitions, slices, table, trimmed
 from kestrelq.llm.graph import components
 
 BITS, SEED, SHINGLE, RADIUS = 64, 42, 4, 4
-#: Of the pipeline's stage: fingerprints of two-word shingles, linked at a wider radius, propose groups (64 bits of five-word shingles are
-#: too coarse for that); the similarity of whole sets of five-word shingles decides on them.
-STAGE_SHINGLE, PROPOSE_SHINGLE, PROPOSE_RADIUS, SIMILARITY = 5, 2, 10, 0.8
-BROADCAST_ROWS, GROUP_ROWS = 500_000, 20_000
-#: Texts of the sample that tells frequent shingles, how many of these are known, rows of a shingle that are compared at once, and shingle
-#: sets and pairs that a worker holds; none changes the result.
-SAMPLE_TEXTS, FREQUENT, TOKEN_ROWS, SETS_HELD, PAIRS_AT_ONCE = 10_000, 100_000, 4_096, 200, 500_000
+#: Of the pipeline's stage: shingles of five words whose sets have this Jaccard similarity. Texts meet by the least KEEP hashes of their
+#: shingles; their fingerprints lie within WIDE bits unless they have fewer than FEW shingles, where that says too little.
+STAGE_SHINGLE, SIMILARITY, KEEP, WIDE, FEW = 5, 0.8, 16, 26, 32
+#: Odds at most of leaving out a pair by what its least hashes have in common.
+ODDS = 1e-6
+BROADCAST_ROWS = 200_000
+#: Texts of the sample that tells frequent shingles, in how many of them such a one is, how many are known; texts and shingles of one side
+#: of a cell, in which texts are compared. None changes the result.
+SAMPLE_TEXTS, OFTEN, FREQUENT, CELL_ROWS, CELL_SHINGLES = 10_000, 4, 100_000, 1_024, 1 << 20
+#: Least hashes that a text has in common with a centre that it is compared with; those left out meet later.
+STAR_SHARED = 4
+#: Pairs whose least hashes are compared at once, and partners of a text from which its shingles are looked up in all of a cell.
+PAIRS_AT_ONCE, MANY = 20_000, 24
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SHINGLES_AT_ONCE = 1 << 16
 #: Estimated seconds that a row of a key and a compared pair take; they choose the number of blocks, never the result.
@@ -292,232 +298,320 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# --- deduplication -------------------------------------------------------------------------------------------------------------
+# --- deduplication ---------------------------------------------------------------------------------------------------------------
 
 
-def shingles(text: str | None, shingle: int) -> np.ndarray:
-    """Hashes of the text's different word shingles, sorted; fewer words are one shingle."""
-    from xxhash import xxh64_intdigest
+class Shingles:
+    """Hashes of a text's different word shingles, sorted; fewer words are one shingle, no words too."""
 
-    words = (text or "").encode().translate(LOWER).split()
-    return np.unique(np.array([xxh64_intdigest(b" ".join(words[i : i + shingle]), SEED) for i in range(max(1, len(words) - shingle + 1))], np.uint64))
+    def __init__(self, size: int):
+        self.size, self.words, self.factors = size, WordHashes(), factors(size, 1)[0]
 
+    def of(self, text: str | None) -> np.ndarray:
+        own = self.words.of((text or "").encode().translate(LOWER).split())
+        n = max(1, len(own) - self.size + 1)
+        total = np.zeros(n, np.uint64)
+        for j in range(min(self.size, len(own))):
+            total += own[j : j + n] * self.factors[j]
+        # sums of words are spread over all bits
+        total ^= total >> np.uint64(33)
+        total *= np.uint64(0xFF51AFD7ED558CCD)
+        total ^= total >> np.uint64(33)
+        return np.unique(total)
 
-class Leaders:
-    """Texts that come one after another: one that is similar to no leader leads, others are linked to all leaders that they are similar to."""
 
-    def __init__(self, similarity: float):
-        self.similarity, self.sizes, self.holders = similarity, [], {}
-
-    def place(self, own: np.ndarray) -> list[int]:
-        """The numbers of the leaders that the text is similar to; if there are none, it is the next leader."""
-        hashes = own.tolist()
-        held = [x for h in hashes for x in self.holders.get(h, ())]
-        near: list[int] = []
-        if held:
-            both = np.bincount(held, minlength=len(self.sizes))
-            sizes = np.array(self.sizes)
-            near = np.flatnonzero(both >= self.similarity * (sizes + len(hashes) - both) - 1e-9).tolist()
-        if not near:
-            k = len(self.sizes)
-            self.sizes.append(len(hashes))
-            for h in hashes:
-                self.holders.setdefault(h, []).append(k)
-        return near
+def _print(own: np.ndarray) -> int:
+    """The fingerprint of a set of hashes."""
+    counts = np.zeros(BITS, np.int64)
+    for at in range(0, len(own), SHINGLES_AT_ONCE):
+        counts += np.unpackbits(np.ascontiguousarray(own[at : at + SHINGLES_AT_ONCE], "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(own), bitorder="little").view("<i8")[0])
 
 
 def _of(docs: DataFrame, asked: DataFrame) -> DataFrame:
     """The asked documents (asked_id, asked_key and other columns) with doc_id, doc_key and text."""
     few = asked.count() <= BROADCAST_ROWS
-    return keyed(docs).join(F.broadcast(asked) if few else asked, F.col("doc_id").eqNullSafe(F.col("asked_id")) & (F.col("doc_key") == F.col("asked_key"))).drop("asked_id", "asked_key")
-
+    return keyed(docs).join(F.broadcast(asked) if few else asked, F.col("doc_id").eqNullSafe(F.col("asked_id")) & F.col("doc_key").eqNullSafe(F.col("asked_key"))).drop("asked_id", "asked_key")
 
-def _led(docs: DataFrame, asked: DataFrame, by: list[str], shingle: int, similarity: float) -> DataFrame:
-    """Of asked documents (with the columns `by`, asked_id, asked_key): links (a, b) of doc_keys from each to the leaders that it is similar to, from a leader to itself.
 
-    A group's documents come in ascending doc_id as a stream; only the shingles of leaders are held.
-    """
-    rows = _of(docs, asked).select(*by, "doc_id", "doc_key", "text")
-    ordered = rows.repartition(partitions(docs.sparkSession), *by).sortWithinPartitions(*by, F.col("doc_id").asc_nulls_last(), "doc_key")
+def _frequent(docs: DataFrame, shingle: int) -> np.ndarray:
+    """Sorted hashes of shingles that several texts of a sample have. Any choice gives the same links."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from itertools import groupby
+        made = Shingles(shingle)
+        for batch in slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([made.of(t) for t in batch.column("text").to_pylist()]).view(np.int64))], ["token"])
 
-        every = (r for b in batches for r in zip(zip(*(b.column(c).to_pylist() for c in by), strict=True), b.column("doc_key").to_pylist(), b.column("text"), strict=True))
-        for _, group in groupby(every, key=lambda r: r[0]):
-            leaders, keys, found, last = Leaders(similarity), [], [], None
-            for _, key, text in group:
-                if key == last:  # a repeated row
-                    continue
-                last = key
-                near = leaders.place(shingles(text.as_py(), shingle))
-                if not near:
-                    keys.append(key)
-                found += [(key, keys[k]) for k in near] or [(key, key)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+    one_in = max(1, docs.count() // SAMPLE_TEXTS)
+    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0).select(F.col("text").cast("string").alias("text"))
+    counted = sample.mapInArrow(trimmed(run), "token long").groupBy("token").count().filter(F.col("count") >= OFTEN)
+    found = counted.orderBy(F.desc("count"), "token").limit(FREQUENT).collect()
+    return np.sort(np.array([r[0] for r in found], np.int64).view(np.uint64))
 
-    return ordered.mapInArrow(trimmed(run), "a long, b long")
 
+def sketches(docs: DataFrame, shingle: int, often: np.ndarray, keep: int = KEEP) -> DataFrame:
+    """doc_id, doc_key, set_key (a hash of the shingles), size, rare (how many are not frequent), print, low and all.
 
-def _frequent(rows: DataFrame, n: int, shingle: int) -> np.ndarray:
-    """Shingles that several texts of a sample have, from rare to frequent. They come last in prefixes; any choice gives the same links."""
+    low: the least `keep` hashes of those not frequent; all: the least of all, for texts most of whose shingles are frequent, else null.
+    """
+    known = docs.sparkSession.sparkContext.broadcast(often)  # FREQUENT numbers at most
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        made, frequent = Shingles(shingle), known.value
         for batch in slices(batches, "text"):
-            made = np.concatenate([shingles(t, shingle) for t in batch.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([pa.array(made.view(np.int64))], ["token"])
+            sets, size, rare, prints, low, every = [], [], [], [], [], []
+            for t in batch.column("text").to_pylist():
+                own = made.of(t)
+                scarce = own
+                if len(frequent):
+                    at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
+                    scarce = own[frequent[at] != own]
+                sets.append(xxh64_intdigest(own.tobytes()) - (1 << 63))
+                size.append(len(own))
+                rare.append(len(scarce))
+                prints.append(_print(own))
+                low.append(scarce[:keep].view(np.int64))
+                every.append(own[:keep].view(np.int64) if 4 * len(scarce) < 3 * len(own) else None)
+            longs, ints = pa.int64(), pa.int32()
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("doc_key"), pa.array(sets, longs), pa.array(size, ints), pa.array(rare, ints), pa.array(prints, longs), pa.array(low, pa.list_(longs)), pa.array(every, pa.list_(longs))], ["doc_id", "doc_key", "set_key", "size", "rare", "print", "low", "all"])
+
+    return keyed(docs).mapInArrow(trimmed(run), "doc_id long, doc_key long, set_key long, size int, rare int, print long, low array<long>, all array<long>")
+
+
+def shared_at_least(keep: int = KEEP, odds: float = ODDS) -> list[int]:
+    """For a similarity of i / 100: how many of their least hashes two sets have in common but for such odds."""
+    out = []
+    for i in range(101):
+        total, c = 0.0, 0
+        while c < keep and (total := total + comb(keep, c) * (i / 100) ** c * (1 - i / 100) ** (keep - c)) <= odds:
+            c += 1
+        out.append(c)
+    return out
 
-    sample = rows.filter(F.pmod(F.xxhash64("doc_key"), F.lit(max(1, n // SAMPLE_TEXTS))) == 0).select("text")
-    counted = sample.mapInArrow(trimmed(run), "token long").groupBy("token").count().filter("count > 1")
-    found = counted.orderBy(F.desc("count"), "token").limit(FREQUENT).collect()
-    return np.array([r[0] for r in reversed(found)], np.int64).view(np.uint64)
+
+def _least_shared(size_a: np.ndarray, size_b: np.ndarray, rare_a: np.ndarray, rare_b: np.ndarray, whole: np.ndarray, similarity: float) -> np.ndarray:
+    """How many of the least hashes two texts of that similarity have in common at least."""
+    # at most (1 - s) / s of the smaller one's shingles are not shared, so that of the union of the scarce ones this share is
+    scarce = 1 - (1 - similarity) / similarity * np.minimum(size_a, size_b) / np.maximum(1, np.maximum(rare_a, rare_b))
+    likely = np.floor(100 * np.where(whole, similarity, np.clip(scarce, 0, 1)) + 1e-9).astype(np.int64)
+    return np.maximum(1, np.array(shared_at_least())[likely])
+
+
+def pairs_within(bucket: np.ndarray, prints: np.ndarray, label: np.ndarray, few: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of one bucket with different labels that differ in at most `radius` bits or are both marked `few`; buckets lie one after another."""
+    kept, step, until = np.arange(len(prints)), 1, 16
+    while True:
+        own, first, size = np.unique(bucket[kept], return_index=True, return_counts=True)
+        if not len(own):
+            return
+        least, most = np.minimum.reduceat(label[kept], first), np.maximum.reduceat(label[kept], first)
+        kept = kept[np.repeat((size > step) & (least != most), size)]
+        if len(kept) < 2:
+            return
+        planes, group, now, small = _planes(prints[kept]), bucket[kept], label[kept], few[kept]
+        while step < until:
+            wanted = (group[step:] == group[:-step]) & (now[step:] != now[:-step]) if step < len(kept) else np.zeros(0, bool)
+            if wanted.any():
+                at = _near(planes, step, _packed(wanted), radius)
+                if small.any():
+                    at = np.union1d(at, np.flatnonzero(wanted & small[step:] & small[:-step]))
+                if len(at):
+                    yield kept[at], kept[at + step]
+            step += 1
+        until *= 2
 
 
-def _ordered(own: np.ndarray, known: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Sorted shingles in the order of prefixes: those not known as frequent by their hashes, then the frequent ones by rank."""
-    if not len(known):
-        return own
-    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-    often = known[at] == own
-    return np.concatenate((own[~often], own[often][np.argsort(rank[at[often]])]))
+def _lists(column: pa.Array, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """A row of `keep` hashes for each list, and the lengths."""
+    sizes = np.diff(column.offsets.to_numpy())
+    flat = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    out = np.zeros((len(sizes), keep), np.uint64)
+    out[np.arange(keep) < sizes[:, None]] = flat
+    return out, sizes
 
 
-def _alike(docs: DataFrame, texts: DataFrame, work: Workspace, shingle: int, similarity: float) -> DataFrame:
-    """All links (a, b) of doc_keys of texts (asked_id, asked_key, label) that are similar and have different labels.
+CELL = ["whole", "token", "x", "y"]
 
-    Two sets of that similarity have a shingle in common within their prefixes (all but similarity * size of their shingles, one more), in
-    any one order of all shingles. So texts are joined by the shingles of their prefixes, pruned by their sizes and by the places of the
-    shingle, and then compared by their whole sets. The texts of a frequent shingle are dealt out by pairs of parts.
-    """
-    spark = docs.sparkSession
-    rows = _of(docs, texts)
-    often = _frequent(rows, texts.count(), shingle)
-    sort = np.argsort(often)
-    known, rank = spark.sparkContext.broadcast(often[sort]), spark.sparkContext.broadcast(sort)
-    others = ["doc_key", "label"]
 
-    def prefixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            tokens, row, place, size = [], [], [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                own = _ordered(shingles(text, shingle), known.value, rank.value)
-                n = len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1
-                tokens.append(own[:n])
-                row.append(np.full(n, i))
-                place.append(np.arange(n))
-                size.append(np.full(n, len(own)))
-            at = pa.array(np.concatenate(row))
-            made = [pa.array(np.concatenate(tokens).view(np.int64)), *(batch.column(c).take(at) for c in others), pa.array(np.concatenate(place), pa.int32()), pa.array(np.concatenate(size), pa.int32())]
-            yield pa.RecordBatch.from_arrays(made, ["token", *others, "place", "size"])
-
-    types = ", ".join(f"{c} long" for c in ("token", *others))
-    made = rows.select(*others, "text").mapInArrow(trimmed(prefixes), f"{types}, place int, size int")
-    over = "OVER (PARTITION BY token)"
-    several = made.selectExpr("*", f"count(1) {over} AS n", f"min(label) {over} <> max(label) {over} AS open").filter("open")
-    several = several.withColumn("parts", F.ceil(F.col("n") / TOKEN_ROWS).cast("int")).withColumn("side", F.pmod(F.hash("doc_key"), F.col("parts")))
-    cells = several.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"x": F.least("side", "other"), "y": F.greatest("side", "other")})
-    cell = ["token", "x", "y"]
-    dealt = cells.select(*cell, "side", "doc_key", "label", "place", "size").repartition(partitions(spark), *cell).sortWithinPartitions(*cell)
-
-    def candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        made: list[np.ndarray] = []
-
-        def flush() -> pa.RecordBatch:
-            every = np.concatenate([np.zeros((2, 0), np.int64), *made], axis=1)
-            made.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(every, axis=1)], ["a", "b"])
-
-        def pairs(group: np.ndarray) -> Iterator[pa.RecordBatch]:
-            across = group[len(cell) - 2, 0] != group[len(cell) - 1, 0]  # of two parts: only pairs of one with the other
-            side, key, label, place, size = group[len(cell) :]
-            rows_made = 0
-            for i in range(len(key) - 1):
-                least = similarity / (1 + similarity) * (size[i] + size[i + 1 :]) - 1e-9
-                near = (label[i + 1 :] != label[i]) & (np.minimum(size[i] - place[i], size[i + 1 :] - place[i + 1 :]) >= least)
-                if across:
-                    near &= side[i + 1 :] != side[i]
-                there = key[i + 1 :][near]
-                if len(there):
-                    made.append(np.stack((np.minimum(key[i], there), np.maximum(key[i], there))))
-                    rows_made += len(there)
-                    if rows_made > PAIRS_AT_ONCE:
-                        yield flush()
-                        rows_made = 0
+def _candidates(rows: DataFrame, keep: int, radius: int, similarity: float) -> DataFrame:
+    """Pairs (cell, a, b) of rows that share a cell and may be similar; each pair is found by the least hash that both have."""
+    dealt = rows.repartition(partitions(rows.sparkSession), *CELL).sortWithinPartitions(*CELL)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
+
+        def compared(whole: pa.Table) -> Iterator[pa.RecordBatch]:
+            col = lambda c: whole.column(c).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64)
+            cells = np.stack([col(c) for c in CELL])
+            bucket = np.concatenate(([0], np.cumsum(np.any(cells[:, 1:] != cells[:, :-1], axis=0))))
+            key, label, size, rare, side = (col(c) for c in ("set_key", "label", "size", "rare", "side"))
+            lists, lengths = _lists(whole.column("hashes").combine_chunks(), keep)
+            other = np.where(np.arange(keep) < lengths[:, None], lists, np.uint64(1))  # what fills up never matches
+            across, is_whole, token = cells[2] != cells[3], cells[0] != 0, cells[1].view(np.uint64)
+            for i_all, j_all in pairs_within(bucket, col("print").view(np.uint64), label, size < FEW, radius):
+                for at in range(0, len(i_all), PAIRS_AT_ONCE):
+                    i, j = i_all[at : at + PAIRS_AT_ONCE], j_all[at : at + PAIRS_AT_ONCE]
+                    fit = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9
+                    fit &= ~across[i] | (side[i] != side[j])  # of two parts only pairs of one with the other
+                    i, j = i[fit], j[fit]
+                    if not len(i):
+                        continue
+                    equal = (lists[i][:, :, None] == other[j][:, None, :]).any(axis=2)
+                    first = lists[i, equal.argmax(axis=1)]
+                    short = (lengths[i] < keep) | (lengths[j] < keep)
+                    enough = equal.sum(axis=1) >= np.where(short, 1, _least_shared(size[i], size[j], rare[i], rare[j], is_whole[i], similarity))
+                    good = enough & (first == token[i])
+                    i, j = i[good], j[good]
+                    if len(i):
+                        yield pa.RecordBatch.from_arrays([pa.array(_mixed(cells[:, i])), pa.array(np.minimum(key[i], key[j])), pa.array(np.maximum(key[i], key[j]))], ["cell", "a", "b"])
 
         for batch in batches:
-            held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]))
-            now = np.concatenate(held, axis=1)
-            cuts = np.flatnonzero(np.any(now[: len(cell), 1:] != now[: len(cell), :-1], axis=0)) + 1
-            for group in np.split(now, cuts, axis=1)[:-1]:
-                yield from pairs(group)
-            yield flush()
-            held = [now[:, cuts[-1] if len(cuts) else 0 :]]  # the last group may go on
-        if held:
-            yield from pairs(held[0])
-            yield flush()
-
-    found = work.save(dealt.mapInArrow(trimmed(candidates), "a long, b long").distinct(), "candidates")
-    ids = texts.select("asked_id", "asked_key")
-    wanted = found.select(F.explode(F.array("a", "b")).alias("wanted")).distinct()
-    full = work.save(_of(docs, ids.join(wanted, F.col("asked_key") == F.col("wanted")).drop("wanted")).select("doc_key", "text").dropDuplicates(["doc_key"]), "compared")
-    side = lambda key, text: full.select(F.col("doc_key").alias(key), F.col("text").alias(text))
-    both = found.join(side("a", "ta"), "a").join(side("b", "tb"), "b").select("a", "b", "ta", "tb")
-
-    def verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: dict[int, np.ndarray] = {}
+            held.append(batch)
+            n += batch.num_rows
+            if n >= ROWS_AT_ONCE:
+                now = pa.Table.from_batches(held)
+                last = now.slice(n - 1, 1)
+                same = np.all([now.column(c).to_numpy() == last.column(c).to_numpy()[0] for c in CELL], axis=0)
+                cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0  # the last cell may go on
+                if cut:
+                    yield from compared(now.slice(0, cut))
+                held, n = now.slice(cut).to_batches(), n - cut
+        if n:
+            yield from compared(pa.Table.from_batches(held))
+
+    return dealt.mapInArrow(trimmed(run), "cell long, a long, b long")
+
+
+def _mixed(cells: np.ndarray) -> np.ndarray:
+    """One number for each cell."""
+    out = np.zeros(cells.shape[1], np.uint64)
+    for row in cells:
+        out = (out ^ row.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64)
+
+
+def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Of pairs (cell, a, b): the links (a, b) whose whole sets of shingles are similar enough. The texts of a cell come to one task."""
+    spark = docs.sparkSession
+    members = pairs.select("cell", F.explode(F.array("a", "b")).alias("set_key")).distinct()
+    asked = members.join(nodes.select("set_key", F.col("first.doc_id").alias("asked_id"), F.col("first.doc_key").alias("asked_key")), "set_key")
+    texts = _of(docs, asked).select("cell", F.lit(0).alias("kind"), F.col("set_key").alias("a"), "text", F.lit(None).cast("array<long>").alias("partners"))
+    # a cell has a bounded number of texts, so the partners of one are as few
+    wanted = pairs.groupBy("cell", "a").agg(F.collect_set("b").alias("partners")).select("cell", F.lit(1).alias("kind"), "a", F.lit(None).cast("string").alias("text"), "partners")
+    dealt = texts.unionByName(wanted).repartition(partitions(spark), "cell").sortWithinPartitions("cell", "kind")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, cell, place, sets, postings = Shingles(shingle), None, {}, [], None
         for whole in batches:
-            for batch in slices([whole], "ta"):
-                keep = []
-                for a, b, ta, tb in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("ta"), batch.column("tb"), strict=True):
-                    for key, text in ((a, ta), (b, tb)):
-                        if key not in last:
-                            if len(last) > SETS_HELD:
-                                last = {k: last[k] for k in (a,) if k in last}
-                            last[key] = shingles(text.as_py(), shingle)
-                    x, y = last[a], last[b]
-                    shared = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
-                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return work.save(both.mapInArrow(trimmed(verified), "a long, b long"), "alike")
-
-
-def superfluous(docs: DataFrame, shingle: int, propose: int, radius: int, similarity: float) -> tuple[DataFrame, bool]:
-    """doc_id and doc_key of documents that give way to another of their group, and whether rows repeat both.
-
-    Groups are the components of all different texts, linked where the Jaccard similarity of their whole shingle sets is enough, so neither
-    order nor size of a group matters. Fingerprints propose groups, and texts within one are compared with its leaders, which finds most
-    links soon; a proposed group of very many texts is dealt out by hash, and what leads in the parts is compared once more. `_alike`
-    finds those that are left, also of texts whose fingerprints lie far apart. Of a group the smallest doc_id stays, and of equal texts the smallest doc_id.
+            for batch in slices([whole], "text"):
+                a_out, b_out = [], []
+                for c, kind, key, text, partners in zip(batch.column("cell").to_pylist(), batch.column("kind").to_pylist(), batch.column("a").to_pylist(), batch.column("text"), batch.column("partners"), strict=True):
+                    if c != cell:
+                        cell, place, sets, postings = c, {}, [], None
+                    if kind == 0:
+                        if key not in place:
+                            place[key] = len(sets)
+                            sets.append(made.of(text.as_py()))
+                        continue
+                    own, wanted = sets[place[key]], partners.as_py()
+                    which = np.array([place[b] for b in wanted])
+                    if len(wanted) < MANY:
+                        shared = np.array([_common(own, sets[k]) for k in which])
+                    else:
+                        if postings is None:
+                            flat = np.concatenate(sets)
+                            order = np.argsort(flat, kind="stable")
+                            postings = flat[order], np.repeat(np.arange(len(sets)), [len(s) for s in sets])[order]
+                        low, high = np.searchsorted(postings[0], own), np.searchsorted(postings[0], own, "right")
+                        n = high - low
+                        at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                        shared = np.bincount(postings[1][at], minlength=len(sets))[which]
+                    sizes = np.array([len(sets[k]) for k in which])
+                    alike = shared >= similarity * (len(own) + sizes - shared) - 1e-9
+                    b_out += [b for b, x in zip(wanted, alike.tolist(), strict=True) if x]
+                    a_out += [key] * (len(b_out) - len(a_out))
+                yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
+
+    return dealt.mapInArrow(trimmed(run), "a long, b long")
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """How many numbers two sorted sets share."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    return int((y[np.minimum(at, len(y) - 1)] == x).sum())
+
+
+def _stars(rows: DataFrame, few: bool, similarity: float, radius: int) -> DataFrame:
+    """Pairs (cell, a, b) of each text with the centre of its shingle's texts, the one nearest to the majority of their fingerprints."""
+    ups = [F.sum(F.getbit("print", F.lit(i))).alias(f"u{i}") for i in range(BITS)]
+    bits = [F.when(2 * F.col(f"u{i}") > F.col("n"), F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")) for i in range(BITS)]
+    middle = bits[0]
+    for b in bits[1:]:
+        middle = middle.bitwiseOR(b)
+    middles = rows.groupBy("whole", "token").agg(F.count("*").alias("n"), *ups).select("whole", "token", middle.alias("middle"))
+    apart = F.bit_count(F.col("print").bitwiseXOR(F.col("middle")))
+    small = F.broadcast if few else lambda x: x  # a row of fixed width for each token
+    nearest = rows.join(small(middles), ["whole", "token"]).groupBy("whole", "token").agg(F.min(F.struct(apart.alias("apart"), "set_key", "size", "print", "hashes")).alias("centre"))
+    both = rows.join(small(nearest), ["whole", "token"]).filter("set_key <> centre.set_key")
+    close = (F.bit_count(F.col("print").bitwiseXOR(F.col("centre.print"))) <= radius) | ((F.col("size") < FEW) & (F.col("centre.size") < FEW))
+    enough = F.size(F.array_intersect("hashes", "centre.hashes")) >= F.least(F.lit(STAR_SHARED), F.size("hashes") / 2)
+    fit = both.filter(close & enough & (F.least("size", "centre.size") >= similarity * F.greatest("size", "centre.size") - 1e-9))
+    cell = F.xxhash64("centre.set_key", F.pmod(F.xxhash64("set_key"), F.col("parts").cast("long")))
+    return fit.groupBy(F.col("centre.set_key").alias("a"), F.col("set_key").alias("b")).agg(F.min(cell).alias("cell")).select("cell", "a", "b")
+
+
+def similar_texts(docs: DataFrame, work: Workspace, shingle: int = STAGE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, doc_key, set_key, group: the least set_key that links reach, where links join all texts of that similarity.
+
+    Texts of equal shingle sets are one node. Nodes meet in cells by the least hashes of their shingles, frequent shingles aside: two sets
+    of that similarity miss each other there with odds of a third, or less, to the power of `KEEP`. Nodes of mostly frequent shingles also meet by
+    the least hashes of all. First each node is compared with the centre of each cell, which joins copies of one text; then, in
+    cells that still hold several groups, fingerprints of all pairs of two groups are compared by bit planes, and those within the radius
+    that have enough of their least hashes in common are compared by their whole sets. A cell of many nodes is dealt out by pairs of its parts.
     """
+    found = work.save(sketches(docs, shingle, _frequent(docs, shingle)), "sketches")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc_key")).alias("first")
+    nodes = work.save(found.groupBy("set_key").agg(first, *(F.first(c).alias(c) for c in ("size", "rare", "print", "low", "all"))), "nodes")
+    families = F.array(F.struct(F.lit(0).alias("whole"), F.col("low").alias("hashes")), F.struct(F.lit(1).alias("whole"), F.col("all").alias("hashes")))
+    each = nodes.select("set_key", "size", "rare", "print", F.explode(families).alias("f")).filter("f.hashes IS NOT NULL").select("set_key", "size", "rare", "print", "f.whole", "f.hashes", F.explode("f.hashes").alias("token"))
+    parts = F.ceil(F.greatest(F.count("*") / CELL_ROWS, F.sum("size") / CELL_SHINGLES)).cast("int").alias("parts")
+    open_ = work.save(each.groupBy("whole", "token").agg(F.count("*").alias("n"), parts).filter("n > 1").drop("n"), "open")
+    few = open_.count() <= BROADCAST_ROWS
+    rows = work.save(each.join(F.broadcast(open_) if few else open_, ["whole", "token"]), "rows")
+    stars = work.save(_verified(docs, nodes, work.save(_stars(rows, few, similarity, WIDE), "star-pairs"), shingle, similarity), "stars-found")
+    known = components(stars, work)
+    labelled = work.save(rows.join(known.withColumnRenamed("a", "set_key"), "set_key", "left").withColumn("label", F.coalesce("b", "set_key")).drop("b"), "labelled")
+    mixed = labelled.groupBy("whole", "token").agg(F.min("label").alias("low_label"), F.max("label").alias("high_label")).filter("low_label <> high_label").select("whole", "token")
+    left = labelled.join(mixed, ["whole", "token"], "left_semi").withColumn("side", F.pmod(F.hash("set_key"), F.col("parts")))
+    cells = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"x": F.least("side", "other"), "y": F.greatest("side", "other")})
+    pairs = work.save(_candidates(cells.select(*CELL, "side", "set_key", "label", "size", "rare", "print", "hashes"), KEEP, WIDE, similarity), "pairs")
+    more = work.save(_verified(docs, nodes, pairs, shingle, similarity), "pairs-found")
+    groups = components(known.unionByName(more), work).withColumnRenamed("a", "set_key").withColumnRenamed("b", "least_key")
+    return found.select("doc_id", "doc_key", "set_key").join(groups, "set_key", "left").select("doc_id", "doc_key", "set_key", F.coalesce("least_key", "set_key").alias("group"))
+
+
+def superfluous(docs: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, bool]:
+    """doc_id and doc_key of documents that give way to another of their group, and whether rows repeat both. Of a group the smallest doc_id stays; with it, of two texts that of the smaller hash."""
     work = Workspace(docs.sparkSession, "simhash-groups")
-    found = work.save(grouped(docs, work, propose, radius).select("doc_id", "doc_key", "root"), "grouped")
-    repeated = bool(found.groupBy("doc_id", "doc_key").count().filter("count > 1").head(1))
-    texts = work.save(found.groupBy("root", "doc_key").agg(F.min("doc_id").alias("asked_id")).withColumnRenamed("doc_key", "asked_key"), "texts")
-    several = texts.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").select("root", F.ceil(F.col("n") / GROUP_ROWS).alias("parts"))
-    asked = work.save(texts.join(several, "root").select("root", F.pmod(F.hash("asked_key"), F.col("parts").cast("int")).alias("part"), "parts", "asked_id", "asked_key"), "asked")
-    links_ = work.save(_led(docs, asked.drop("parts"), ["root", "part"], shingle, similarity), "first")
-    heads = asked.filter("parts > 1").join(links_.filter("a = b").select(F.col("a").alias("asked_key")), "asked_key").select("root", "asked_id", "asked_key")
-    if heads.head(1):
-        links_ = links_.unionByName(work.save(_led(docs, work.save(heads, "heads"), ["root"], shingle, similarity), "second"))
-    known = components(links_, work)
-    labelled = work.save(texts.join(known.withColumnRenamed("a", "asked_key"), "asked_key", "left").select("asked_id", "asked_key", F.coalesce("b", "asked_key").alias("label")), "labelled")
-    more = _alike(docs, labelled, work, shingle, similarity)
-    whole = work.save(components(known.unionByName(more), work), "groups").withColumnRenamed("a", "doc_key")
-    rows = found.join(whole, "doc_key", "left").select("doc_id", "doc_key", F.coalesce("b", "doc_key").alias("group"))
-    # of a group all but the smallest doc_id; with it, the smaller hash of two texts
+    rows = work.save(similar_texts(docs, work, shingle, similarity), "grouped")
+    repeated = bool(rows.groupBy("doc_id", "doc_key").count().filter("count > 1").head(1))
     stays = rows.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc_key")).alias("first"))
-    gone = rows.join(stays, "group").filter("NOT (doc_id <=> first.doc_id AND doc_key = first.doc_key)").select("doc_id", "doc_key")
+    gone = rows.join(stays, "group").filter("NOT (doc_id <=> first.doc_id AND doc_key <=> first.doc_key)").select("doc_id", "doc_key")
     return work.save(gone.distinct(), "superfluous"), repeated
 
 
-def deduplicate(docs: DataFrame, shingle: int = STAGE_SHINGLE, propose: int = PROPOSE_SHINGLE, radius: int = PROPOSE_RADIUS, similarity: float = SIMILARITY) -> DataFrame:
+def deduplicate(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of one document of each group of near copies, the smallest doc_id, with their columns as they are."""
-    gone, repeated = superfluous(docs, shingle, propose, radius, similarity)
+    gone, repeated = superfluous(docs, shingle, similarity)
     few = gone.count() <= BROADCAST_ROWS
     gone = gone.select(F.col("doc_id").alias("__kestrelq_gone_id"), F.col("doc_key").alias("__kestrelq_gone_key"))
-    kept = docs.join(F.broadcast(gone) if few else gone, docs["doc_id"].cast("long").eqNullSafe(F.col("__kestrelq_gone_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__kestrelq_gone_key")), "left_anti")
+    kept = docs.join(F.broadcast(gone) if few else gone, docs["doc_id"].cast("long").eqNullSafe(F.col("__kestrelq_gone_id")) & F.xxhash64(docs["text"].cast("string")).eqNullSafe(F.col("__kestrelq_gone_key")), "left_anti")
     return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
 
 

@@ -265,9 +265,9 @@ def test_components_of_chains_and_stars(spark):
     assert found == {i: 0 for i in range(1, 61)} | {k: 1000 for k in range(2000, 2050)}
 
 
-@pytest.mark.parametrize("group_rows", [20_000, 1])
-def test_deduplication_keeps_one_of_each_group(docs, texts, clashing, empty, group_rows, monkeypatch):
-    monkeypatch.setattr(simhash, "GROUP_ROWS", group_rows)
+@pytest.mark.parametrize("cell_rows", [1_024, 1])
+def test_deduplication_keeps_one_of_each_group(docs, texts, clashing, empty, cell_rows, monkeypatch):
+    monkeypatch.setattr(simhash, "CELL_ROWS", cell_rows)
 
     def shingles(t):
         w = re.sub("[A-Z]", lambda m: m[0].lower(), t or "").split()
@@ -299,10 +299,11 @@ def _five(t):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
 
 
-@pytest.mark.parametrize("group_rows", [20_000, 1])
-def test_deduplication_links_a_chain_in_any_order(spark, group_rows, monkeypatch):
-    monkeypatch.setattr(simhash, "GROUP_ROWS", group_rows)
-    monkeypatch.setattr(simhash, "TOKEN_ROWS", 2 if group_rows == 1 else simhash.TOKEN_ROWS)
+@pytest.mark.parametrize(("cell_rows", "often"), [(1_024, 4), (1, 4), (1_024, 1)])
+def test_deduplication_links_a_chain_in_any_order(spark, cell_rows, often, monkeypatch):
+    """Whether cells are dealt out or not, and whether shingles count as frequent or not."""
+    monkeypatch.setattr(simhash, "CELL_ROWS", cell_rows)
+    monkeypatch.setattr(simhash, "OFTEN", often)
     rng = np.random.default_rng(11)
     rows, chains = [], {}
     for k, order in enumerate(permutations(range(3))):
