@@ -38,9 +38,9 @@ def show(result: Result, traced: bool) -> None:
         return
     if traced:
         t = result.trace
-        print(f"LOGICAL PLAN\n{t.logical}\nOPTIMIZED LOGICAL PLAN\n{t.optimized}\nOPTIMIZER ACTIONS\n{json.dumps(t.optimization, indent=1)}\n\nPHYSICAL PLAN\n{t.physical}")
+        print(f"AST\n{t.ast}\nLOGICAL PLAN\n{t.logical}\nOPTIMIZED LOGICAL PLAN\n{t.optimized}\nOPTIMIZER ACTIONS\n{json.dumps(t.optimization, indent=1)}\n\nPHYSICAL PLAN\n{t.physical}")
     print(as_table(result.data))
-    print(f"\nEXECUTION PROFILE\n{profile.profile(result.data).tree()}")
+    print(f"\nEXECUTION PROFILE\n{profile.profile(result.data, result.estimator).tree()}")
 
 
 def _pair(text: str) -> tuple[str, str]:

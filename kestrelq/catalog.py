@@ -99,9 +99,18 @@ class Catalog:
         """Spark's estimate of the table's size."""
         return int(self.table(name)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
-    def expose(self, barrier: bool) -> None:
-        """Sets the views to the tables, or to checkpointed copies through which nothing is pushed or pruned."""
+    def column_sizes(self, name: str) -> dict[str, int]:
+        """Bytes of each column's values: texts by their length, others by the width of their type; one aggregation."""
+        df = self.table(name)
+        width = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "float": 4, "date": 4}
+        parts = [F.coalesce(F.sum(F.octet_length(F.col(f"`{c}`")) if t in ("string", "binary") else F.when(F.col(f"`{c}`").isNotNull(), width.get(t, 8))), F.lit(0)) for c, t in df.dtypes]
+        return dict(zip(df.columns, df.agg(*parts).first(), strict=True))
+
+    def expose(self, barrier: bool, names: set[str]) -> None:
+        """Sets the views of these tables to the tables, or to checkpointed copies through which nothing is pushed or pruned."""
         for key, df in self.tables.items():
+            if key not in names:
+                continue
             if barrier and key not in self.held:
                 shared_dir(self.spark)
                 self.held[key] = df.checkpoint()

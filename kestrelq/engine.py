@@ -14,8 +14,10 @@ from kestrelq.config import EngineConfig, JoinPreference
 from kestrelq.errors import translated
 from kestrelq.plans import estimate, explain, profile, strict, tree
 
-_EXPLAIN = re.compile(r"^\s*EXPLAIN\s+(PHYSICAL\s+)?(?=SELECT\b)", re.I)
-_COMMENT = re.compile(r"--[^\n]*")
+#: What stands between words, and the words, texts and signs of a statement.
+_GAP = r"(?:\s|--[^\n]*(?:\n|$)|/\*.*?\*/)"
+_EXPLAIN = re.compile(rf"{_GAP}*EXPLAIN{_GAP}+(PHYSICAL{_GAP}+)?(?=SELECT\b)", re.I | re.S)
+_TOKEN = re.compile(rf"{_GAP}|'(?:[^'\\]|\\.|'')*'|\"[^\"]*\"|`[^`]*`|(?P<word>\w+)|.", re.S)
 
 
 @dataclass
@@ -25,11 +27,12 @@ class Result:
     data: DataFrame | None
     plan: str | None
     trace: explain.Trace
+    estimator: estimate.Estimator
 
     def profile(self) -> profile.Profile:
-        """Runs the query, and reports its operators."""
-        self.data.collect()
-        return profile.profile(self.data)
+        """Runs the query where its data is, no row reaches the driver, and reports its operators."""
+        profile.execute(self.data)
+        return profile.profile(self.data, self.estimator)
 
 
 class Engine:
@@ -56,7 +59,7 @@ class Engine:
     def sql(self, sql: str) -> DataFrame:
         """The query's rows; errors of names and types are raised here, before anything runs."""
         _, text = self._plain(sql)
-        with self._settings():
+        with self._settings(text):
             df = self._analysed(text)
             try:
                 if self.config.settings() != EngineConfig(strict=self.config.strict).settings():
@@ -67,37 +70,35 @@ class Engine:
 
     def query(self, sql: str) -> Result:
         kind, text = self._plain(sql)
-        with self._settings():
+        with self._settings(text):
             df = self._analysed(text)
             try:
                 trace = explain.trace(df, tree.parsed(self.spark, text).prettyJson())  # plans under these settings
             except Exception as e:
                 raise translated(e, sql) from e
+        estimator = self.estimator(df)
         if kind == "":
-            return Result(df, None, trace)
-        return Result(None, trace.physical if kind == "physical" else self._explained(df, trace), trace)
+            return Result(df, None, trace, estimator)
+        qe = explain.execution(df)
+        return Result(None, estimator.described(qe.executedPlan() if kind == "physical" else qe.optimizedPlan(), kind == "physical"), trace, estimator)
 
     def estimated_rows(self, df: DataFrame) -> int:
-        names = [t for t in self.catalog.table_names()]
-        used = {n.data["identifier"]["name"].lower() for n in tree.of(df._jdf.queryExecution().analyzed()).walk() if n.kind == "SubqueryAlias"}
-        stats = {}
-        for name in names:
-            if name in used:
-                found = self.catalog.stats(name)
-                stats[name] = (found.rows, {c.lower(): (s.least, s.greatest, s.distinct) for c, s in found.columns.items()})
-        return estimate.estimate(df._jdf.queryExecution().analyzed(), stats)
-
-    def _explained(self, df: DataFrame, trace: explain.Trace) -> str:
-        return f"{trace.optimized}\nEstimated rows: {self.estimated_rows(df)}\n"
+        return self.estimator(df).of(explain.execution(df).analyzed())
+
+    def estimator(self, df: DataFrame) -> estimate.Estimator:
+        """Knows the query's tables; their statistics are only gathered when an estimate is asked for."""
+        return estimate.Estimator(self._stats, explain.execution(df).analyzed(), self.catalog.table_names())
+
+    def _stats(self, name: str) -> tuple[int, dict]:
+        found = self.catalog.stats(name)
+        return found.rows, {c.lower(): (s.least, s.greatest, s.distinct) for c, s in found.columns.items()}
 
     @staticmethod
     def _plain(sql: str) -> tuple[str, str]:
         """Whether a plan is asked for ('', 'logical', 'physical'), and the statement without a semicolon at its end."""
         text = sql.strip().removesuffix(";")
-        m = _EXPLAIN.match(_COMMENT.sub("", text))
-        if not m:
-            return "", text
-        return ("physical" if m[1] else "logical"), _EXPLAIN.sub("", _COMMENT.sub("", text), count=1)
+        m = _EXPLAIN.match(text)
+        return (("physical" if m[1] else "logical"), text[m.end() :]) if m else ("", text)
 
     def _analysed(self, text: str) -> DataFrame:
         try:
@@ -123,10 +124,11 @@ class Engine:
                 names.append(tree.names(node.data["multipartIdentifier"])[-1])
         if len(names) < 2:
             return text
-        return re.sub(r"(?i)\bselect\b", f"SELECT /*+ {self.config.join.value}({', '.join(dict.fromkeys(names))}) */", text, count=1)
+        first = next(m for m in _TOKEN.finditer(text) if (m["word"] or "").lower() == "select")
+        return f"{text[: first.end()]} /*+ {self.config.join.value}({', '.join(dict.fromkeys(names))}) */{text[first.end() :]}"
 
     @contextmanager
-    def _settings(self) -> Iterator[None]:
+    def _settings(self, text: str) -> Iterator[None]:
         """The engine's settings for the time in which a query is analysed and planned."""
         conf, before = self.spark.conf, {}
         for key, value in self.config.settings().items():
@@ -136,7 +138,8 @@ class Engine:
             else:
                 conf.unset(key)
         try:
-            self.catalog.expose(self.config.optimizer.barrier())
+            words = {m["word"].lower() if m["word"] else m[0].strip('`"').lower() for m in _TOKEN.finditer(text)}
+            self.catalog.expose(self.config.optimizer.barrier(), words)  # a table that the statement does not name is left alone
             yield
         finally:
             for key, value in before.items():

@@ -67,3 +67,11 @@ def names(text: str) -> list[str]:
 def object_name(value: Any) -> str:
     """'Inner' of {'object': '...Inner$'}."""
     return str(value.get("object", value) if isinstance(value, dict) else value).rstrip("$").rpartition(".")[2]
+
+
+def items(seq: Any) -> list[Any]:
+    """A Scala sequence as a list."""
+    it, out = seq.iterator(), []
+    while it.hasNext():
+        out.append(it.next())
+    return out
