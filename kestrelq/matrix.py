@@ -156,25 +156,30 @@ def _ast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, engine(spark, sf_dir).ast(FLAGSHIP), "json")
 
 
-def _csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _own_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the folder that all executors share."""
+    import uuid
+
     from kestrelq.session import shared_dir
 
-    path = f"{shared_dir(spark)}/nation-csv"
-    _read(spark, sf_dir, "nation").write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _own_path(spark, "nation-csv")
+    _read(spark, sf_dir, "nation").write.option("header", True).option("escape", '"').csv(path)
     return Engine(spark).import_csv(path, "nation_csv").select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name", F.col("n_regionkey").cast("int").alias("n_regionkey"))
 
 
 def _colfile_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import os
-    import tempfile
-
-    from kestrelq.sources.colfile import read_table, write_colfile
+    """Written from the driver, read by the executors through format("colfile")."""
+    from kestrelq.sources.colfile import write_colfile
 
-    path = os.path.join(tempfile.mkdtemp(), "nation.col")
+    path = _own_path(spark, "nation-colfile")
     write_colfile(_read(spark, sf_dir, "nation"), path, "nation")
-    _, schema, columns = read_table(path)  # on the driver, where the file is; executors read shared paths by format("colfile")
-    made = spark.createDataFrame(list(zip(*columns, strict=True)), schema)
-    return made.select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name", F.col("n_regionkey").cast("int").alias("n_regionkey"))
+    engine_ = Engine(spark)
+    engine_.catalog.colfile(path, "nation_colfile")
+    return engine_.sql("SELECT * FROM nation_colfile").select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name", F.col("n_regionkey").cast("int").alias("n_regionkey"))
 
 
 def queries() -> dict[str, Query]:
