@@ -6,7 +6,8 @@ symbols that were consumed; words without a mergeable pair leave the array. Only
 what it has met is kept in a bounded cache.
 
 Defined results: a null text counts as empty; an empty text has no ids and decodes to the empty text; special tokens' strings in
-a text are their ids; rows are independent, so ties and repeated rows give repeated results; other columns pass through.
+a text are their ids; very long texts are encoded whole, long words outside the cache; rows are independent, so ties and repeated rows
+give repeated results; an empty table gives an empty one; other columns pass through, but those named like the new ones are replaced.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ Control strings in texts are escaped reversibly: one backslash goes between "<"
 there), so that "<|" in the output always begins a control string. In roles line feeds and backslashes are escaped as well.
 
 Defined results: rows are ordered by turn (null first), then role and text; null role or text: empty; null conv_id: a conversation
-of its own; repeated rows are repeated turns; an empty table gives conversation -1 alone; other columns are ignored.
+of its own; very long texts and conversations are streamed; repeated rows are repeated turns; an empty table gives conversation -1
+alone; other columns, also those named like its own, are ignored.
 """
 
 from __future__ import annotations

@@ -5,12 +5,14 @@ a document is a mixture of languages that its words are drawn from. Expectation-
 of languages grows one by one, each time by the language that raises the likelihood most, as long as the gain exceeds a penalty in
 the logarithm of the number of words. The prediction is the language with the largest proportion, the score is that proportion.
 
-Models are fitted on at most `SAMPLE` documents a language, those with the smallest hashes of doc_id; trigrams are counted where
-the documents are, and one vector of `GRAMS` counts a language reaches the driver.
+Models are fitted on at most `SAMPLE` documents a language, those with the smallest hashes of doc_id; the window that ranks them meets
+only rows with a hash below a bound that follows the language's number of rows. Trigrams are counted where the documents are, and one
+vector of `GRAMS` counts a language reaches the driver.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; so is every text if nothing was learned; rows with null
-lang, or a null text, teach nothing; languages that are equally likely are taken in alphabetical order; repeated rows get equal
-results; an empty table gives an empty one; other columns pass through.
+lang, null doc_id or a null text teach nothing, rows that repeat a doc_id once; very long texts are read whole, each different word once;
+languages that are equally likely are taken in alphabetical order; repeated rows get equal results; an empty table gives an empty one;
+other columns pass through, but lang_pred and score are replaced.
 """
 
 from __future__ import annotations
@@ -20,11 +22,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kestrelq.llm.common import slices, table, train_fold, trimmed
+from kestrelq.llm.common import slices, small_hash_sample, table, train_fold, trimmed
 
 FOLDS, HELD_OUT = 5, 0
 SAMPLE, GRAMS, SMOOTH = 1_500, 1 << 16, 0.5
@@ -143,10 +145,10 @@ def _em(rows: np.ndarray, often: np.ndarray, weights: np.ndarray) -> tuple[np.nd
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Mixture:
     """Learns from doc_id, text and lang of the rows outside the held-out fold."""
     known = train_fold(docs.select("doc_id", "lang").filter("lang IS NOT NULL AND text IS NOT NULL"), FOLDS, HELD_OUT).filter("NOT held_out")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     # the sample's size is fixed for each language, so it may be broadcast
-    chosen = F.broadcast(known.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= sample).select(F.col("doc_id").alias("sample_id"), F.col("lang").alias("sample_lang")))
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"), "lang").join(chosen, (F.col("doc_id") == F.col("sample_id")) & (F.col("lang") == F.col("sample_lang"))).select("lang", "text")
+    chosen = F.broadcast(small_hash_sample(known.select("doc_id", "lang").distinct(), "lang", ["doc_id"], sample).select(F.col("doc_id").alias("sample_id"), F.col("lang").alias("sample_lang")))
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text"), "lang").join(chosen, (F.col("doc_id") == F.col("sample_id")) & (F.col("lang") == F.col("sample_lang")))
+    texts = found.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("lang", "text")  # rows that repeat a doc_id teach once
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, np.ndarray] = {}

@@ -4,16 +4,22 @@ Pairs of a good and a bad document (as the labels say) are preferences; a linear
 their features, with Newton steps, and cut at the quantile of the labelled scores below which the share of bad labels lies. The score
 that is returned is the logistic function of the distance to that cut, so that 0.5 is the cut itself.
 
+Features are shares of classes of bytes, measures of words and repetition, and how large a part of the words falls to each of
+`BUCKETS` hashes of lower-cased words, so that what words say is learned from the labels too.
+
 The ranking is fitted on at most `SAMPLE` labelled documents, those with the smallest hashes of doc_id, and at most `PAIRS` pairs of
-them; only these reach the driver. Features are counts over whole texts, so scoring is one pass without exchange.
+them; only these reach the driver. Features are counts over whole texts, also very long ones, so scoring is one pass without exchange.
 
 Defined results: a null text counts as empty; an empty text has the features of one and a score like any; without labels of both kinds
-every score is 0.5; labels without a document, or null, teach nothing; repeated rows get equal scores; an empty table gives an empty one.
+every score is 0.5; labels without a document, or null, teach nothing; a doc_id with several labels teaches the smallest, one with several
+texts the smallest; equal scores at the cut are on one side; repeated rows get equal scores; an empty table gives an empty one; other
+columns pass through, but score and predicted are replaced.
 """
 
 from __future__ import annotations
 
 import operator
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,13 +31,29 @@ from pyspark.sql import types as T
 from kestrelq.llm.common import slices, table, train_fold, trimmed
 
 FOLDS, HELD_OUT = 3, 1
-SAMPLE, PAIRS, RIDGE, STEPS, FEW_WORDS = 8_000, 40_000, 1e-3, 25, 5
+SAMPLE, PAIRS, RIDGE, STEPS, FEW_WORDS = 8_000, 20_000, 1e-3, 25, 5
+BUCKETS, CACHE_WORDS = 256, 400_000
+#: How much more the weights of words are held back than others, as they are many.
+WORD_RIDGE = 30.0
 #: Classes of bytes whose shares are features.
 CLASSES = (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b" \t", b"\n\r", b"!?", b".", b",;:", b"*", b"#$%&@^~", b"|", b"<>/\\{}[]_=+", b"\"'`()-", bytes(range(0x80, 0x100)))
 _CLASS_OF = np.full(256, len(CLASSES), np.int64)
 for _i, _members in enumerate(CLASSES):
     _CLASS_OF[list(_members)] = _i
-NAMES = [*(f"class_{i}" for i in range(len(CLASSES) + 1)), "upper_of_letters", "symbols_a_word", "log_words", "word_bytes", "unlike_words", "repeats_next", "repeats_second", "repeated_lines", "longest_word", "empty"]
+NAMES = [*(f"class_{i}" for i in range(len(CLASSES) + 1)), "upper_of_letters", "symbols_a_word", "log_words", "word_bytes", "unlike_words", "repeats_next", "repeats_second", "repeated_lines", "longest_word", "empty", *(f"words_{i}" for i in range(BUCKETS))]
+
+
+class _Buckets(dict):
+    """The bucket of a word, for words met so far, up to a number."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        made = self[word] = zlib.crc32(word.lower()) % BUCKETS
+        return made
+
+
+_bucket_of = _Buckets()
 
 
 def features(text: str | None) -> np.ndarray:
@@ -41,6 +63,7 @@ def features(text: str | None) -> np.ndarray:
     share = np.bincount(_CLASS_OF, np.bincount(np.frombuffer(data, np.uint8), minlength=256), len(CLASSES) + 1) / size
     letters = share[0] + share[1]
     lines = data.split(b"\n")
+    held = np.bincount(np.fromiter(map(_bucket_of.__getitem__, words), np.int64, n), minlength=BUCKETS)
     return np.array(
         [
             *share,
@@ -54,6 +77,7 @@ def features(text: str | None) -> np.ndarray:
             1 - len(set(lines)) / len(lines),
             np.log1p(max(map(len, words), default=0)),
             float(n == 0),
+            *np.sqrt(held / max(1, n)),
         ]
     )
 
@@ -88,11 +112,11 @@ def fit(rows: np.ndarray, labels: np.ndarray, pairs: int = PAIRS, ridge: float =
     rng = np.random.default_rng(1)
     each = min(pairs, len(good) * len(bad))
     x = z[rng.choice(good, each)] - z[rng.choice(bad, each)]
-    w = np.zeros(n)
+    w, hold = np.zeros(n), ridge * np.where([name.startswith("words_") for name in NAMES], WORD_RIDGE, 1.0)
     for _ in range(STEPS):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))  # that the good one is preferred
-        gradient = x.T @ (1 - p) / each - ridge * w
-        hessian = (x * (p * (1 - p))[:, None]).T @ x / each + ridge * np.eye(n)
+        gradient = x.T @ (1 - p) / each - hold * w
+        hessian = (x * (p * (1 - p))[:, None]).T @ x / each + np.diag(hold)
         step = np.linalg.solve(hessian, gradient)
         w += step * min(1.0, 5 / max(1e-12, np.linalg.norm(step)))
         if np.abs(step).max() < 1e-6:
@@ -104,10 +128,11 @@ def fit(rows: np.ndarray, labels: np.ndarray, pairs: int = PAIRS, ridge: float =
 
 def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of the sample of rows outside the held-out fold."""
-    known = train_fold(labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter("quality IN (0, 1)"), FOLDS, HELD_OUT).filter("NOT held_out")
+    known = train_fold(labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter("quality IN (0, 1) AND doc_id IS NOT NULL"), FOLDS, HELD_OUT).filter("NOT held_out")
     # the sample's size is fixed, so it may be broadcast
-    chosen = F.broadcast(known.select(F.col("doc_id").alias("label_id"), "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample))
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, F.col("doc_id") == F.col("label_id")).select("text", "quality")
+    chosen = F.broadcast(known.groupBy(F.col("doc_id").alias("label_id")).agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("label_id"), "label_id").limit(sample))
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, F.col("doc_id") == F.col("label_id"))
+    texts = found.groupBy("label_id").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("text"), "quality")).alias("x")).select("x.text", "x.quality")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
