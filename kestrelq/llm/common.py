@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kestrelq.session import shared_dir, ship
@@ -17,14 +17,15 @@ from kestrelq.session import shared_dir, ship
 SLICE_CHARS = 2_000_000
 
 
-#: Rows of a record batch where the session has Spark's default: batches of whole texts are large.
-BATCH_ROWS, BATCH_SETTING, BATCH_DEFAULT = "1000", "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+#: Rows and bytes of a record batch where the session has Spark's defaults: batches of whole texts are large, and the JVM holds them outside its heap.
+BATCH_SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b")}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
-    if spark.conf.get(BATCH_SETTING) == BATCH_DEFAULT:
-        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
+    for setting, (default, own) in BATCH_SETTINGS.items():
+        if spark.conf.get(setting) == default:
+            spark.conf.set(setting, own)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -50,7 +51,7 @@ def slices(batches: Iterable[pa.RecordBatch], text: str, chars: int = SLICE_CHAR
 class WordHashes:
     """64-bit hashes of words, kept in a bounded cache."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 250_000):
         self.most, self.cache = most, {}
 
     def of(self, words: list[bytes]) -> np.ndarray:
@@ -93,8 +94,9 @@ def trim() -> None:
 class Workspace:
     """A folder of its own in the shared folder, for tables that cut lineage; everything in it survives a lost executor."""
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    def __init__(self, spark: SparkSession, name: str = "", path: str = ""):
+        """A new folder, or the one that the path names."""
+        self.spark, self.path = spark, path or f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> str:
         path = f"{self.path}/{name}"
@@ -109,10 +111,19 @@ class Workspace:
         schema = df.schema
         return self.spark.read.schema(schema).parquet(self.write(df, name))
 
-    def drop(self, name: str = "") -> None:
-        """Deletes one table, or the whole folder, through Hadoop's file system."""
+    def _on_disk(self, name: str):
+        """A path and its file system, Hadoop's."""
         target = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
-        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+        return target, target.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def exists(self, name: str) -> bool:
+        target, system = self._on_disk(name)
+        return system.exists(target)
+
+    def drop(self, name: str = "") -> None:
+        """Deletes one table, or the whole folder."""
+        target, system = self._on_disk(name)
+        system.delete(target, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -133,3 +144,18 @@ def partitions(spark: SparkSession) -> int:
 def train_fold(df: DataFrame, modulus: int, held: int) -> DataFrame:
     """Adds held_out: whether crc32 of doc_id as text leaves the remainder `held`."""
     return df.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == held, F.lit(False)))
+
+
+def small_hash_sample(rows: DataFrame, by: str, of: list[str], size: int) -> DataFrame:
+    """Of different rows: for each value of `by` those `size` with the smallest hashes of the columns `of`.
+
+    The window that ranks them meets about three times as many rows for a value as it keeps: the hash of the others is above a bound that
+    follows their number. Below ten times the size all rows meet it.
+    """
+    own = rows.withColumn("__hash", F.xxhash64(*of))
+    counts = rows.groupBy(by).agg(F.count("*").alias("__n")).withColumnRenamed(by, "__by")
+    near = own.join(counts, own[by].eqNullSafe(counts["__by"]))
+    share = F.lit(3.0 * size) / F.col("__n")
+    low = near.filter((F.col("__n") <= 10 * size) | (F.col("__hash").cast("double") < -(2.0**63) + share * 2.0**64))
+    order = Window.partitionBy(by).orderBy("__hash", *of)
+    return low.withColumn("__k", F.row_number().over(order)).filter(F.col("__k") <= size).drop("__hash", "__n", "__by", "__k")
