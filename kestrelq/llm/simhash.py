@@ -9,9 +9,15 @@ Fingerprints that share a key are compared at growing distance in their sorted o
 words, so one operation serves 64 pairs; differing bits are added up in carry-save counters, and a word of pairs is left as soon as
 all of them exceed the radius or are connected already. A group yields links that connect it, not all its pairs.
 
-Defined results: a null or empty text, or one of white space, has fingerprint zero and links like any other; repeated rows and
-ties share a node; the smallest doc_id that is not null names a component; an empty table gives an empty one; other columns are
-ignored.
+The pipeline's stage (`similar_texts`, `deduplicate`) links texts by the Jaccard similarity of their sets of five-word shingles. Texts meet in
+cells by the least hashes of their shingles; within a cell the fingerprints of these sets are compared by the same bit planes, and pairs
+within the radius by their whole sets. A link is left out with odds of about one in a million for a pair at the least similarity, less above;
+neither the order of documents nor the size of a cell or group matters.
+
+Defined results: a null or empty text, or one of white space, has fingerprint zero and links like any other; texts of fewer words than a
+shingle are one shingle; very long texts are read whole; repeated rows and ties share a node; the smallest doc_id that is not null names
+a component and stays in the stage, of equal doc_ids with different texts that of the smaller hash, of repeated rows one; an empty table
+gives an empty one; other columns, also those named like its own, are ignored, and passed through by the stage.
 """
 
 from __future__ import annotations
@@ -34,14 +40,14 @@ BITS, SEED, SHINGLE, RADIUS = 64, 42, 4, 4
 STAGE_SHINGLE, SIMILARITY, KEEP, WIDE, FEW = 5, 0.8, 16, 26, 32
 #: Odds at most of leaving out a pair by what its least hashes have in common.
 ODDS = 1e-6
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 100_000
 #: Texts of the sample that tells frequent shingles, in how many of them such a one is, how many are known; texts and shingles of one side
 #: of a cell, in which texts are compared. None changes the result.
 SAMPLE_TEXTS, OFTEN, FREQUENT, CELL_ROWS, CELL_SHINGLES = 10_000, 4, 100_000, 1_024, 1 << 20
 #: Least hashes that a text has in common with a centre that it is compared with; those left out meet later.
 STAR_SHARED = 4
-#: Pairs whose least hashes are compared at once, and partners of a text from which its shingles are looked up in all of a cell.
-PAIRS_AT_ONCE, MANY = 20_000, 24
+#: Pairs whose least hashes are compared at once.
+PAIRS_AT_ONCE = 20_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SHINGLES_AT_ONCE = 1 << 16
 #: Estimated seconds that a row of a key and a compared pair take; they choose the number of blocks, never the result.
@@ -436,21 +442,21 @@ CELL = ["whole", "token", "x", "y"]
 
 
 def _candidates(rows: DataFrame, keep: int, radius: int, similarity: float) -> DataFrame:
-    """Pairs (cell, a, b) of rows that share a cell and may be similar; each pair is found by the least hash that both have."""
+    """Rows (cell, set_key) of those that may be similar to one of another label in their cell, in the cell of the least hash that both have."""
     dealt = rows.repartition(partitions(rows.sparkSession), *CELL).sortWithinPartitions(*CELL)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         n = 0
 
-        def compared(whole: pa.Table) -> Iterator[pa.RecordBatch]:
+        def compared(whole: pa.Table) -> Iterator[pa.RecordBatch]:  # a row of the table gives one at most
             col = lambda c: whole.column(c).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64)
             cells = np.stack([col(c) for c in CELL])
             bucket = np.concatenate(([0], np.cumsum(np.any(cells[:, 1:] != cells[:, :-1], axis=0))))
             key, label, size, rare, side = (col(c) for c in ("set_key", "label", "size", "rare", "side"))
             lists, lengths = _lists(whole.column("hashes").combine_chunks(), keep)
             other = np.where(np.arange(keep) < lengths[:, None], lists, np.uint64(1))  # what fills up never matches
-            across, is_whole, token = cells[2] != cells[3], cells[0] != 0, cells[1].view(np.uint64)
+            across, is_whole, token, met = cells[2] != cells[3], cells[0] != 0, cells[1].view(np.uint64), np.zeros(len(key), bool)
             for i_all, j_all in pairs_within(bucket, col("print").view(np.uint64), label, size < FEW, radius):
                 for at in range(0, len(i_all), PAIRS_AT_ONCE):
                     i, j = i_all[at : at + PAIRS_AT_ONCE], j_all[at : at + PAIRS_AT_ONCE]
@@ -464,9 +470,8 @@ def _candidates(rows: DataFrame, keep: int, radius: int, similarity: float) -> D
                     short = (lengths[i] < keep) | (lengths[j] < keep)
                     enough = equal.sum(axis=1) >= np.where(short, 1, _least_shared(size[i], size[j], rare[i], rare[j], is_whole[i], similarity))
                     good = enough & (first == token[i])
-                    i, j = i[good], j[good]
-                    if len(i):
-                        yield pa.RecordBatch.from_arrays([pa.array(_mixed(cells[:, i])), pa.array(np.minimum(key[i], key[j])), pa.array(np.maximum(key[i], key[j]))], ["cell", "a", "b"])
+                    met[i[good]] = met[j[good]] = True
+            yield pa.RecordBatch.from_arrays([pa.array(_mixed(cells[:, met])), pa.array(key[met]), pa.array(label[met])], ["cell", "set_key", "label"])
 
         for batch in batches:
             held.append(batch)
@@ -482,7 +487,7 @@ def _candidates(rows: DataFrame, keep: int, radius: int, similarity: float) -> D
         if n:
             yield from compared(pa.Table.from_batches(held))
 
-    return dealt.mapInArrow(trimmed(run), "cell long, a long, b long")
+    return dealt.mapInArrow(trimmed(run), "cell long, set_key long, label long")
 
 
 def _mixed(cells: np.ndarray) -> np.ndarray:
@@ -494,51 +499,92 @@ def _mixed(cells: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _texts(docs: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
+    """Members (cell, set_key and other columns) with their text."""
+    return _of(docs, members.join(nodes.select("set_key", F.col("first.doc_id").alias("asked_id"), F.col("first.doc_key").alias("asked_key")), "set_key"))
+
+
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Of pairs (cell, a, b): the links (a, b) whose whole sets of shingles are similar enough. The texts of a cell come to one task."""
+    """Of pairs (cell, a, b), of which a is the same in a cell: the links (a, b) whose whole sets of shingles are similar enough."""
     spark = docs.sparkSession
-    members = pairs.select("cell", F.explode(F.array("a", "b")).alias("set_key")).distinct()
-    asked = members.join(nodes.select("set_key", F.col("first.doc_id").alias("asked_id"), F.col("first.doc_key").alias("asked_key")), "set_key")
-    texts = _of(docs, asked).select("cell", F.lit(0).alias("kind"), F.col("set_key").alias("a"), "text", F.lit(None).cast("array<long>").alias("partners"))
-    # a cell has a bounded number of texts, so the partners of one are as few
-    wanted = pairs.groupBy("cell", "a").agg(F.collect_set("b").alias("partners")).select("cell", F.lit(1).alias("kind"), "a", F.lit(None).cast("string").alias("text"), "partners")
-    dealt = texts.unionByName(wanted).repartition(partitions(spark), "cell").sortWithinPartitions("cell", "kind")
+    members = pairs.select("cell", F.col("b").alias("set_key"), F.lit(1).alias("kind")).unionByName(pairs.select("cell", F.col("a").alias("set_key"), F.lit(0).alias("kind")).distinct())
+    dealt = _texts(docs, nodes, members).select("cell", "kind", "set_key", "text").repartition(partitions(spark), "cell").sortWithinPartitions("cell", "kind", "set_key")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, cell, place, sets, postings = Shingles(shingle), None, {}, [], None
+        made, cell, centre, own, last = Shingles(shingle), None, 0, None, None
         for whole in batches:
             for batch in slices([whole], "text"):
                 a_out, b_out = [], []
-                for c, kind, key, text, partners in zip(batch.column("cell").to_pylist(), batch.column("kind").to_pylist(), batch.column("a").to_pylist(), batch.column("text"), batch.column("partners"), strict=True):
-                    if c != cell:
-                        cell, place, sets, postings = c, {}, [], None
-                    if kind == 0:
-                        if key not in place:
-                            place[key] = len(sets)
-                            sets.append(made.of(text.as_py()))
+                for c, kind, key, text in zip(batch.column("cell").to_pylist(), batch.column("kind").to_pylist(), batch.column("set_key").to_pylist(), batch.column("text"), strict=True):
+                    if (c, kind, key) == last:  # a repeated row
                         continue
-                    own, wanted = sets[place[key]], partners.as_py()
-                    which = np.array([place[b] for b in wanted])
-                    if len(wanted) < MANY:
-                        shared = np.array([_common(own, sets[k]) for k in which])
-                    else:
-                        if postings is None:
-                            flat = np.concatenate(sets)
-                            order = np.argsort(flat, kind="stable")
-                            postings = flat[order], np.repeat(np.arange(len(sets)), [len(s) for s in sets])[order]
-                        low, high = np.searchsorted(postings[0], own), np.searchsorted(postings[0], own, "right")
-                        n = high - low
-                        at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                        shared = np.bincount(postings[1][at], minlength=len(sets))[which]
-                    sizes = np.array([len(sets[k]) for k in which])
-                    alike = shared >= similarity * (len(own) + sizes - shared) - 1e-9
-                    b_out += [b for b, x in zip(wanted, alike.tolist(), strict=True) if x]
-                    a_out += [key] * (len(b_out) - len(a_out))
+                    last = (c, kind, key)
+                    if c != cell:
+                        cell, centre, own = c, key, made.of(text.as_py())
+                    elif _alike(own, made.of(text.as_py()), similarity):
+                        a_out.append(centre)
+                        b_out.append(key)
                 yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
 
     return dealt.mapInArrow(trimmed(run), "a long, b long")
 
 
+def _linked(docs: DataFrame, nodes: DataFrame, members: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Of members (cell, set_key, label): links (a, b) that connect, within each cell, all whose whole sets of shingles are similar enough and whose labels differ."""
+    spark = docs.sparkSession
+    dealt = _texts(docs, nodes, members).select("cell", "set_key", "label", "text").repartition(partitions(spark), "cell").sortWithinPartitions("cell", "label", "set_key")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, cell, keys, labels, sets = Shingles(shingle), None, [], [], []
+
+        def flush() -> pa.RecordBatch:
+            a, b = _connected(np.array(labels, np.int64), sets, similarity) if len(sets) > 1 else ([], [])
+            return pa.RecordBatch.from_arrays([pa.array([keys[i] for i in a], pa.int64()), pa.array([keys[i] for i in b], pa.int64())], ["a", "b"])
+
+        for whole in batches:
+            for batch in slices([whole], "text"):
+                for c, key, label, text in zip(batch.column("cell").to_pylist(), batch.column("set_key").to_pylist(), batch.column("label").to_pylist(), batch.column("text"), strict=True):
+                    if c != cell:
+                        yield flush()
+                        cell, keys, labels, sets = c, [], [], []
+                    if not keys or keys[-1] != key:  # else a repeated row
+                        keys.append(key)
+                        labels.append(label)
+                        sets.append(made.of(text.as_py()))
+        yield flush()
+
+    return dealt.mapInArrow(trimmed(run), "a long, b long")
+
+
+def _connected(labels: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
+    """Links between labels, as positions: a number of them that connects what similar sets connect. Those of the largest label are compared with others alone."""
+    sizes = np.array([len(s) for s in sets])
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], np.repeat(np.arange(len(sets)), sizes)[order]
+    label = np.unique(labels, return_inverse=True)[1]
+    largest, a, b = np.bincount(label).argmax(), [], []
+    for i in np.flatnonzero(label != largest).tolist():
+        if (label == label[i]).all():
+            break
+        own = sets[i]
+        low, high = np.searchsorted(flat, own), np.searchsorted(flat, own, "right")
+        n = high - low
+        shared = np.bincount(owner[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())], minlength=len(sets))
+        alike = np.flatnonzero((shared >= similarity * (sizes[i] + sizes - shared) - 1e-9) & (label != label[i]))
+        for j in alike.tolist():
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                a.append(i)
+                b.append(j)
+    return a, b
+
+
+def _alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    shared = _common(x, y)
+    return shared >= similarity * (len(x) + len(y) - shared) - 1e-9
+
+
 def _common(x: np.ndarray, y: np.ndarray) -> int:
     """How many numbers two sorted sets share."""
     if len(x) > len(y):
@@ -556,7 +602,7 @@ def _stars(rows: DataFrame, few: bool, similarity: float, radius: int) -> DataFr
         middle = middle.bitwiseOR(b)
     middles = rows.groupBy("whole", "token").agg(F.count("*").alias("n"), *ups).select("whole", "token", middle.alias("middle"))
     apart = F.bit_count(F.col("print").bitwiseXOR(F.col("middle")))
-    small = F.broadcast if few else lambda x: x  # a row of fixed width for each token
+    small = F.broadcast if few else lambda x: x  # a row of bounded width for each token
     nearest = rows.join(small(middles), ["whole", "token"]).groupBy("whole", "token").agg(F.min(F.struct(apart.alias("apart"), "set_key", "size", "print", "hashes")).alias("centre"))
     both = rows.join(small(nearest), ["whole", "token"]).filter("set_key <> centre.set_key")
     close = (F.bit_count(F.col("print").bitwiseXOR(F.col("centre.print"))) <= radius) | ((F.col("size") < FEW) & (F.col("centre.size") < FEW))
@@ -582,16 +628,16 @@ def similar_texts(docs: DataFrame, work: Workspace, shingle: int = STAGE_SHINGLE
     each = nodes.select("set_key", "size", "rare", "print", F.explode(families).alias("f")).filter("f.hashes IS NOT NULL").select("set_key", "size", "rare", "print", "f.whole", "f.hashes", F.explode("f.hashes").alias("token"))
     parts = F.ceil(F.greatest(F.count("*") / CELL_ROWS, F.sum("size") / CELL_SHINGLES)).cast("int").alias("parts")
     open_ = work.save(each.groupBy("whole", "token").agg(F.count("*").alias("n"), parts).filter("n > 1").drop("n"), "open")
-    few = open_.count() <= BROADCAST_ROWS
-    rows = work.save(each.join(F.broadcast(open_) if few else open_, ["whole", "token"]), "rows")
-    stars = work.save(_verified(docs, nodes, work.save(_stars(rows, few, similarity, WIDE), "star-pairs"), shingle, similarity), "stars-found")
+    n_open = open_.count()
+    rows = work.save(each.join(F.broadcast(open_) if n_open <= BROADCAST_ROWS else open_, ["whole", "token"]), "rows")
+    stars = work.save(_verified(docs, nodes, work.save(_stars(rows, n_open <= BROADCAST_ROWS // 8, similarity, WIDE), "star-pairs"), shingle, similarity), "stars-found")
     known = components(stars, work)
     labelled = work.save(rows.join(known.withColumnRenamed("a", "set_key"), "set_key", "left").withColumn("label", F.coalesce("b", "set_key")).drop("b"), "labelled")
     mixed = labelled.groupBy("whole", "token").agg(F.min("label").alias("low_label"), F.max("label").alias("high_label")).filter("low_label <> high_label").select("whole", "token")
     left = labelled.join(mixed, ["whole", "token"], "left_semi").withColumn("side", F.pmod(F.hash("set_key"), F.col("parts")))
     cells = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"x": F.least("side", "other"), "y": F.greatest("side", "other")})
-    pairs = work.save(_candidates(cells.select(*CELL, "side", "set_key", "label", "size", "rare", "print", "hashes"), KEEP, WIDE, similarity), "pairs")
-    more = work.save(_verified(docs, nodes, pairs, shingle, similarity), "pairs-found")
+    members = work.save(_candidates(cells.select(*CELL, "side", "set_key", "label", "size", "rare", "print", "hashes"), KEEP, WIDE, similarity), "members")
+    more = work.save(_linked(docs, nodes, members, shingle, similarity), "members-found")
     groups = components(known.unionByName(more), work).withColumnRenamed("a", "set_key").withColumnRenamed("b", "least_key")
     return found.select("doc_id", "doc_key", "set_key").join(groups, "set_key", "left").select("doc_id", "doc_key", "set_key", F.coalesce("least_key", "set_key").alias("group"))
 
