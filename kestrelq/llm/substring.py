@@ -3,15 +3,20 @@
 A window is `WINDOW` consecutive words of one document. It is removed if its word sequence also starts earlier: in a document with a
 smaller doc_id, or earlier in the same document. The index holds sorted immutable runs of the window hashes of all earlier batches. A
 batch, whose doc_ids are larger than those before it, is merge-joined with the runs, bucket by bucket of the hash; what is new becomes
-a run of its own, and runs are compacted into one when there are many.
+a run of its own. A batch that is as large as the last run or larger is compacted with it in the same pass, so runs grow in size
+towards the oldest and are few. A manifest in the index's folder names the runs, so that an index can be opened again later.
 
-A window's fingerprint is a 64-bit multilinear hash of its words' hashes; a second, independent 16-bit hash verifies each match.
-Hashes of many windows travel as packed columns, one row for each bucket and slice of texts. A slice sends each different window
-once, so a passage that a third of all documents share costs a row's share for each slice, not for each document.
+A window's fingerprint is a 64-bit multilinear hash of its words' hashes; a second, independent 24-bit hash verifies each match (of 2e13
+windows, about 100 TB of text, less than one pair of different ones is expected to agree on both). Hashes of many windows travel as
+packed columns, one row for each bucket and slice of texts. A slice sends each different window once, and a task does not send again
+what it has found to be frequent, so a passage that a third of all documents share costs a row's share for each task.
 
-Defined results: a null or empty text has no words; documents of fewer words than a window lose none; a null doc_id counts as before
-all others; rows that share a doc_id are one document as to what is earlier, repeated rows get repeated results; an empty table gives
-an empty one; other columns pass through in `deduplicate`.
+Buckets are as many as leave each about `BUCKET_WINDOWS` windows of a batch, so that a worker's memory does not grow with the input.
+
+Defined results: a null or empty text has no words; documents of fewer words than a window lose none; very long texts are one document
+like any other; a null doc_id counts as before all others; rows that share a doc_id are one document as to what is earlier, and among
+them windows at one place are equally early; repeated rows get repeated results; an empty table gives an empty one; other columns pass
+through in `deduplicate`, also those named like its own, but for n_removed, which is replaced.
 """
 
 from __future__ import annotations
@@ -25,72 +30,62 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kestrelq.llm.common import Workspace, partitions, release, slices, table, trimmed
+from kestrelq.llm.common import WordHashes, Workspace, factors, partitions, release, slices, table, trimmed
 
-WINDOW, BATCHES, MOST_RUNS = 20, 2, 4
-CACHE_WORDS = 400_000
-SLICE, MARKS_AT_ONCE = 4_000_000, 1_000_000
+#: Batches of a corpus: BATCHES, or more so that each has at most BATCH_BYTES of text.
+WINDOW, BATCHES, BATCH_BYTES = 20, 4, 1 << 42
+#: Windows of a batch in a bucket and marks in a group of documents, about; bytes of text for each window, about.
+BUCKET_WINDOWS, GROUP_MARKS, BYTES_A_WINDOW = 1 << 18, 1 << 19, 6
+SLICE, PAYLOAD, MARKS_AT_ONCE, FREQUENT, BROADCAST_ROWS = 1_000_000, 4_000_000, 500_000, 1 << 17, 200_000
 FIRST = np.iinfo(np.int64).min
+CHECK = np.uint64(40)
 #: Columns of its own, named so that they clash with none of the input's.
 KEY, SPANS = "__kestrelq_key", "__kestrelq_spans"
 EVENT = "bucket int, kind int, payload binary"
 
 
-class WordHashes:
-    """64-bit hashes of words, kept in a bounded cache."""
-
-    def __init__(self) -> None:
-        self.cache: dict[bytes, int] = {}
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        from xxhash import xxh64_intdigest
-
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        for w in set(words).difference(self.cache):
-            self.cache[w] = xxh64_intdigest(w, 7)
-        return np.fromiter(map(self.cache.__getitem__, words), np.uint64, len(words))
-
-
 def _windows(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprint and check of the window that begins at each word, as if all words were one text."""
-    factors = np.random.default_rng(20).integers(0, 1 << 63, (2, window), np.uint64) * np.uint64(2) + np.uint64(1)
+    by = factors(window, 2)
     n = len(hashes) - window + 1
     main, check = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
     for j in range(window):
-        main += hashes[j : j + n] * factors[0, j]
-        check += hashes[j : j + n] * factors[1, j]
-    return main, (check >> np.uint64(48)).astype(np.uint16)
+        main += hashes[j : j + n] * by[0, j]
+        check += hashes[j : j + n] * by[1, j]
+    return main, (check >> CHECK).astype(np.uint32)
 
 
-# --- packed columns: differences from row to row, laid out byte by byte so that what is constant compresses -----------------------
+# --- packed columns: laid out byte by byte, some as differences from row to row, so that what is constant compresses -------------------
 
+#: Kind, bytes that are kept, whether as differences.
+HASH, MARK = ("<u8", 8, False), (("<i8", 8, True), ("<i8", 8, True), ("<u4", 4, True))
+BATCH, MARKS, RUN = (HASH, ("<u4", 3, False), *MARK), MARK, (("<u8", 8, True), ("<u4", 3, False))
 
-def _pack(*columns: np.ndarray, raw: int = 0) -> bytes:
-    """The first `raw` columns are kept as they are but for the layout, the others as differences."""
-    out = [np.array([len(columns[0])], "<u8").tobytes()]
-    for i, c in enumerate(columns):
-        bits = np.ascontiguousarray(c).view(f"<u{c.dtype.itemsize}")
-        if i >= raw and len(bits):
+
+def _pack(columns: Iterable[np.ndarray], spec: tuple) -> bytes:
+    out = []
+    for c, (kind, width, differences) in zip(columns, spec, strict=True):
+        size = np.dtype(kind).itemsize
+        bits = np.ascontiguousarray(c).view(f"<u{size}")
+        out = out or [np.array([len(bits)], "<u8").tobytes()]
+        if differences and len(bits):
             bits = np.concatenate((bits[:1], bits[1:] - bits[:-1]))
-        out.append(np.ascontiguousarray(bits.view(np.uint8).reshape(-1, c.dtype.itemsize).T).tobytes())
+        out.append(np.ascontiguousarray(bits.view(np.uint8).reshape(-1, size).T[:width]).tobytes())
     return b"".join(out)
 
 
-def _unpack(blob: bytes, *kinds: str, raw: int = 0) -> list[np.ndarray]:
+def _unpack(blob: bytes, spec: tuple) -> list[np.ndarray]:
     n, at, out = int(np.frombuffer(blob, "<u8", 1)[0]), 8, []
-    for i, kind in enumerate(kinds):
+    for kind, width, differences in spec:
         size = np.dtype(kind).itemsize
-        planes = np.frombuffer(blob, np.uint8, n * size, at).reshape(size, n)
-        at += n * size
-        bits = np.ascontiguousarray(planes.T).view(f"<u{size}").reshape(-1)
-        out.append((bits if i < raw else np.cumsum(bits, dtype=bits.dtype)).view(kind))
+        planes = np.zeros((n, size), np.uint8)
+        planes[:, :width] = np.frombuffer(blob, np.uint8, n * width, at).reshape(width, n).T
+        at += n * width
+        bits = planes.view(f"<u{size}").reshape(-1)
+        out.append((np.cumsum(bits, dtype=bits.dtype) if differences else bits).view(kind))
     return out
 
 
-BATCH, MARKS, RUN = ("<u8", "<u2", "<i8", "<u2", "<u4"), ("<i8", "<u2", "<u4"), ("<u8", "<u2")
-
-
 def _group_of(doc: np.ndarray, groups: int) -> np.ndarray:
     return ((doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(groups)
 
@@ -115,16 +110,61 @@ class _Marks:
             order = np.lexsort((pos, key, doc, group))
             group = group[order]
             for part in np.split(order, np.flatnonzero(group[1:] != group[:-1]) + 1):
-                yield int(_group_of(doc[part[:1]], self.groups)[0]), 2, _pack(doc[part], key[part], pos[part])
+                yield int(_group_of(doc[part[:1]], self.groups)[0]), 2, _pack((doc[part], key[part], pos[part]), MARKS)
+
+
+class _Frequent:
+    """Windows that a task has seen repeatedly, a bounded number, with their earliest places so far: later ones need not be sent."""
+
+    def __init__(self) -> None:
+        self.columns = [np.zeros(0, d) for d in (np.uint64, np.uint32, np.int64, np.uint32)]
+
+    def later(self, main: np.ndarray, check: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
+        """Whether a known place is earlier; where it is not, the window's own becomes the known one."""
+        known, checks, docs, places = self.columns
+        out = np.zeros(len(main), bool)
+        if not len(known):
+            return out
+        at = np.minimum(np.searchsorted(known, main), len(known) - 1)
+        met = np.flatnonzero((known[at] == main) & (checks[at] == check))
+        at = at[met]
+        before = (docs[at] < doc[met]) | ((docs[at] == doc[met]) & (places[at] < pos[met]))
+        out[met[before]] = True
+        earlier = ~before
+        docs[at[earlier]], places[at[earlier]] = doc[met[earlier]], pos[met[earlier]]
+        return out
+
+    def add(self, main: np.ndarray, check: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> None:
+        if not len(main):
+            return
+        columns = [np.concatenate((new, old)) for new, old in zip((main, check, doc, pos), self.columns, strict=True)]
+        columns = [c[:FREQUENT] for c in columns]
+        order = np.lexsort((columns[3], columns[2], columns[0]))
+        main = columns[0][order]
+        order = order[np.concatenate(([True], main[1:] != main[:-1]))]
+        self.columns = [c[order] for c in columns]
+
+
+def _events(rows: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    """Record batches of a bounded size."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[2])
+        if size >= PAYLOAD:
+            yield _event(held)
+            held, size = [], 0
+    if held:
+        yield _event(held)
 
 
 def _event(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([o[0] for o in rows], pa.int32()), pa.array([o[1] for o in rows], pa.int32()), pa.array([o[2] for o in rows], pa.binary())], ["bucket", "kind", "payload"])
 
 
-def _later(main: np.ndarray, check: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    """Whether an equal window starts earlier among these."""
-    out = np.zeros(len(main), bool)
+def _later(main: np.ndarray, check: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether an equal window starts earlier among these; and which are the earliest of several."""
+    out, heads = np.zeros(len(main), bool), np.zeros(len(main), bool)
     order = np.argsort(main, kind="stable")
     ranked = main[order]
     same = np.zeros(len(main), bool)
@@ -137,23 +177,24 @@ def _later(main: np.ndarray, check: np.ndarray, doc: np.ndarray, pos: np.ndarray
         new = np.concatenate(([True], (m[1:] != m[:-1]) | (c[1:] != c[:-1])))
         head = np.flatnonzero(new)[np.cumsum(new) - 1]
         out[some] = (d != d[head]) | (p != p[head])
-    return out
+        heads[some[new]] = True
+    return out, heads
 
 
 def _within(main: np.ndarray, check: np.ndarray, run: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Whether a run, sorted, holds these windows."""
+    """Whether a run, sorted by fingerprint and check, holds these windows."""
     known, checks = run
+    out = np.zeros(len(main), bool)
     if not len(known) or not len(main):
-        return np.zeros(len(main), bool)
+        return out
     at = np.searchsorted(known, main)
-    out = np.zeros(len(main), bool)
-    for _ in range(4):  # equal fingerprints with other checks lie side by side
-        here = np.minimum(at, len(known) - 1)
-        equal = (known[here] == main) & (at < len(known))
-        if not equal.any():
-            break
-        out |= equal & (checks[here] == check)
-        at = at + 1
+    open_ = np.flatnonzero(at < len(known))
+    while len(open_):  # equal fingerprints with other checks lie side by side
+        open_ = open_[known[at[open_]] == main[open_]]
+        out[open_] |= checks[at[open_]] == check[open_]
+        open_ = open_[~out[open_]]
+        at[open_] += 1
+        open_ = open_[at[open_] < len(known)]
     return out
 
 
@@ -172,7 +213,7 @@ def _hashed(docs: DataFrame, window: int, buckets: int, groups: int) -> DataFram
     shift = np.uint64(64 - (buckets.bit_length() - 1))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, marks = WordHashes(), _Marks(groups)
+        hasher, marks, frequent = WordHashes(), _Marks(groups), _Frequent()
         for batch in slices(batches, "text", SLICE):
             ids = batch.column("doc_id").fill_null(FIRST).to_numpy(zero_copy_only=False)
             keys = batch.column("doc_key").to_numpy(zero_copy_only=False)
@@ -194,26 +235,31 @@ def _hashed(docs: DataFrame, window: int, buckets: int, groups: int) -> DataFram
             valid = np.flatnonzero(pos <= np.repeat(length - window, length))
             owner = np.repeat(np.array(rows), length)[valid]
             main, check, pos = main[valid], check[valid], pos[valid].astype(np.uint32)
-            doc, key = ids[owner], keys[owner].astype(np.uint16)
-            later = _later(main, check, doc, pos)
+            doc, key = ids[owner], keys[owner]
+            later, heads = _later(main, check, doc, pos)
+            known = frequent.later(main, check, doc, pos)
+            frequent.add(*(x[heads & ~known] for x in (main, check, doc, pos)))
+            later |= known
             out = list(marks.add(doc[later], key[later], pos[later]))
             main, check, doc, key, pos = (x[~later] for x in (main, check, doc, key, pos))
-            bucket = (main >> shift).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
+            bucket = (main >> shift).astype(np.uint32)
             order = np.argsort(bucket, kind="stable")
             bucket = bucket[order]
-            edges = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]))
+            edges = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)])) if len(bucket) else np.zeros(1, np.int64)
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 x = order[a:b]
-                out.append((int(bucket[a]), 1, _pack(main[x], check[x], doc[x], key[x], pos[x], raw=2)))
-            yield _event(out)
-        if rest := list(marks.rest()):
-            yield _event(rest)
+                out.append((int(bucket[a]), 1, _pack((main[x], check[x], doc[x], key[x], pos[x]), BATCH)))
+            yield from _events(out)
+        yield from _events(list(marks.rest()))
 
     return docs.select("doc_id", "doc_key", "text").mapInArrow(trimmed(run), EVENT)
 
 
 def _merged(events: DataFrame, groups: int, keep: bool) -> DataFrame:
-    """Rows come sorted by bucket and kind: runs (0), the batch's windows (1), repeats found before (2). Yields marks (kind 2) and, to be kept, a new run (kind 0)."""
+    """Rows come sorted by bucket and kind: runs to compact (-1), other runs (0), the batch's windows (1), repeats found before (2).
+
+    Yields marks (kind 2) and, to be kept, a new run (kind 0): what is new in the batch, with the runs to compact.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from itertools import groupby
@@ -221,46 +267,32 @@ def _merged(events: DataFrame, groups: int, keep: bool) -> DataFrame:
         marks = _Marks(groups)
         rows = ((b, k, p) for batch in batches for b, k, p in zip(batch.column("bucket").to_pylist(), batch.column("kind").to_pylist(), batch.column("payload"), strict=True))
         for bucket, group in groupby(rows, key=lambda r: r[0]):
-            runs, batch, out = [], [], []
+            runs, old, batch = [], [], []
             for _, kind, payload in group:
-                blob = payload.as_buffer()
                 if kind == 2:
-                    out.append((bucket, 2, payload.as_py()))
-                elif kind == 0:
-                    runs.append(_unpack(blob, *RUN))
+                    yield _event([(bucket, 2, payload.as_py())])
+                elif kind == 1:
+                    batch.append(_unpack(payload.as_buffer(), BATCH))
                 else:
-                    batch.append(_unpack(blob, *BATCH, raw=2))
-            if batch:
-                main, check, doc, key, pos = (np.concatenate([x[i] for x in batch]) for i in range(5))
-                del batch
-                known = np.zeros(len(main), bool)
-                for r in runs:
-                    known |= _within(main, check, r)
-                gone = known | _later(main, check, doc, pos)
-                out += marks.add(doc[gone], key[gone], pos[gone])
-                if keep:
-                    out.append((bucket, 0, _pack(*_distinct(main[~known], check[~known]))))
-            for o in out:
+                    runs.append(_unpack(payload.as_buffer(), RUN))
+                    if kind == -1:
+                        old.append(runs[-1])
+            main, check, doc, key, pos = (np.concatenate([x[i] for x in batch]) if batch else np.zeros(0, BATCH[i][0]) for i in range(5))
+            batch.clear()
+            known = np.zeros(len(main), bool)
+            for r in runs:
+                known |= _within(main, check, r)
+            gone = known | _later(main, check, doc, pos)[0]
+            for o in marks.add(doc[gone], key[gone], pos[gone]):
                 yield _event([o])
+            if keep and (len(main) or old):
+                yield _event([(bucket, 0, _pack(_distinct(np.concatenate([main[~known], *(o[0] for o in old)]), np.concatenate([check[~known], *(o[1] for o in old)])), RUN))])
         for o in marks.rest():
             yield _event([o])
 
     return events.mapInArrow(trimmed(run), EVENT)
 
 
-def _compacted(runs: DataFrame) -> DataFrame:
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from itertools import groupby
-
-        rows = ((b, p) for batch in batches for b, p in zip(batch.column("bucket").to_pylist(), batch.column("payload"), strict=True))
-        for bucket, group in groupby(rows, key=lambda r: r[0]):
-            held = [_unpack(p.as_buffer(), *RUN) for _, p in group]
-            made = _pack(*_distinct(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])))
-            yield _event([(bucket, 0, made)])
-
-    return runs.mapInArrow(trimmed(run), EVENT)
-
-
 def _spans(marks: DataFrame, window: int) -> DataFrame:
     """doc_id, doc_key and the word ranges to remove, as pairs of unsigned 32-bit integers; marks come sorted by group."""
 
@@ -269,8 +301,9 @@ def _spans(marks: DataFrame, window: int) -> DataFrame:
 
         rows = ((b, p) for batch in batches for b, p in zip(batch.column("bucket").to_pylist(), batch.column("payload"), strict=True))
         for _, group in groupby(rows, key=lambda r: r[0]):
-            held = [_unpack(p.as_buffer(), *MARKS) for _, p in group]
+            held = [_unpack(p.as_buffer(), MARKS) for _, p in group]
             doc, key, pos = (np.concatenate([h[i] for h in held]) for i in range(3))
+            held.clear()
             order = np.lexsort((pos, key, doc))
             doc, key, pos = doc[order], key[order], pos[order].astype(np.int64)
             new_doc = np.concatenate(([True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])))
@@ -281,62 +314,88 @@ def _spans(marks: DataFrame, window: int) -> DataFrame:
             head = np.flatnonzero(new_doc[first])
             made = [pairs[a:b].tobytes() for a, b in zip(head.tolist(), np.append(head[1:], len(first)).tolist(), strict=True)]
             ids = doc[first[head]]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=ids == FIRST), pa.array(key[first[head]].astype(np.int32)), pa.array(made, pa.binary())], ["doc_id", "doc_key", "spans"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=ids == FIRST), pa.array(key[first[head]]), pa.array(made, pa.binary())], ["doc_id", "doc_key", "spans"])
+
+    return marks.mapInArrow(trimmed(run), "doc_id long, doc_key long, spans binary")
 
-    return marks.mapInArrow(trimmed(run), "doc_id long, doc_key int, spans binary")
+
+def _power(n: float) -> int:
+    """The least power of two that is not below n."""
+    return 1 << max(0, int(np.ceil(np.log2(max(1.0, n)))))
 
 
 class FingerprintIndex:
-    """Runs of window hashes in a folder; `add` finds what a batch repeats and, unless told otherwise, adds the batch's windows."""
-
-    def __init__(self, spark: SparkSession, work: Workspace, window: int = WINDOW, buckets: int | None = None, most_runs: int = MOST_RUNS):
-        self.spark, self.work, self.window, self.most_runs = spark, work, window, most_runs
-        self.width = partitions(spark)
-        self.buckets = buckets or 1 << max(4, (self.width - 1).bit_length())
-        self.groups = max(8, self.width // 3)
-        self.runs: list[str] = []
+    """Runs of window hashes in a folder; `add` finds what a batch repeats and, unless told otherwise, adds the batch's windows.
+
+    windows: how many a batch will have, about. An index that the folder holds already is opened, with its own settings.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, window: int = WINDOW, windows: float = 0, buckets: int | None = None):
+        self.spark, self.work, self.width = spark, Workspace(spark, path=path), partitions(spark)
+        self.groups = _power(max(8, windows / GROUP_MARKS, self.width / 3))
+        self.window, self.buckets = window, buckets or _power(max(16, windows / BUCKET_WINDOWS, self.width))
+        #: Number and windows of each run, the oldest first.
+        self.runs: list[tuple[int, int]] = []
         self.n = 0
+        if self.work.exists("manifest"):
+            rows = spark.read.schema(self.MANIFEST).parquet(f"{path}/manifest").collect()  # a row for each run
+            head = rows[0]
+            self.window, self.buckets, self.n = head.window, head.buckets, head.n
+            self.runs = sorted((r.run, r.windows) for r in rows if r.run is not None)
+
+    MANIFEST = "window int, buckets int, n int, run int, windows long"
+
+    def _write_manifest(self) -> None:
+        rows = [(self.window, self.buckets, self.n, r, w) for r, w in self.runs or [(None, 0)]]
+        self.work.write(self.spark.createDataFrame(rows, self.MANIFEST).coalesce(1), "manifest")
 
     def _sorted(self, rows: DataFrame, *by: str) -> DataFrame:
         return rows.repartition(self.width, by[0]).sortWithinPartitions(*by)
 
-    def _read(self, path: str, kind: int) -> DataFrame:
-        return self.spark.read.schema(f"{EVENT.replace('kind int, ', '')}, kind int").parquet(path).filter(F.col("kind") == kind).select("bucket", "kind", "payload")
+    def _read(self, n: int, kind: int) -> DataFrame:
+        return self.spark.read.schema(f"{EVENT.replace('kind int, ', '')}, kind int").parquet(f"{self.work.path}/batch-{n}").filter(F.col("kind") == kind).select("bucket", "kind", "payload")
 
-    def add(self, docs: DataFrame, keep: bool = True) -> DataFrame:
-        """Of (doc_id, doc_key, text) whose doc_ids are larger than all before: the marks of windows that started earlier."""
+    def add(self, docs: DataFrame, keep: bool = True, windows: int | None = None) -> DataFrame:
+        """Of (doc_id, doc_key, text) whose doc_ids are larger than all before: the marks of windows that started earlier. windows: how many, about."""
+        own, size, old = self.n, windows, []
+        if keep and size is None:
+            size = docs.select(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // BYTES_A_WINDOW
+        while keep and self.runs and self.runs[-1][1] <= 1.5 * (size + sum(w for _, w in old)):
+            old.insert(0, self.runs.pop())
         events = _hashed(docs, self.window, self.buckets, self.groups)
-        for path in self.runs:
-            events = events.unionByName(self._read(path, 0))
-        name = f"batch-{self.n}"
+        for n, _ in self.runs:
+            events = events.unionByName(self._read(n, 0))
+        for n, _ in old:
+            events = events.unionByName(self._read(n, 0).withColumn("kind", F.lit(-1)))
         self.n += 1
         # one table holds both results of the batch: its run and its marks
-        path = self.work.write(_merged(self._sorted(events, "bucket", "kind"), self.groups, keep), name, ["kind"])
+        self.work.write(_merged(self._sorted(events, "bucket", "kind"), self.groups, keep), f"batch-{own}", ["kind"])
         del events
         if keep:
-            self.runs.append(path)
-            if len(self.runs) > self.most_runs:
-                self.compact()
+            self.runs.append((own, size + sum(w for _, w in old)))
+            self._write_manifest()
+            for n, _ in old:  # the marks of that batch stay
+                self.work.drop(f"batch-{n}/kind=0")
         release(self.spark)
-        return self._read(path, 2)
-
-    def compact(self) -> None:
-        rows = self._read(self.runs[0], 0)
-        for path in self.runs[1:]:
-            rows = rows.unionByName(self._read(path, 0))
-        self.runs = [self.work.write(_compacted(self._sorted(rows, "bucket")), f"run-{self.n}", ["kind"])]
+        return self._read(own, 2)
 
     def spans(self, marks: DataFrame) -> DataFrame:
         return _spans(self._sorted(marks, "bucket"), self.window)
 
 
-def removable(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES) -> DataFrame:
+def removable(docs: DataFrame, window: int = WINDOW, batches: int | None = None) -> DataFrame:
     """doc_id, doc_key, spans: the word ranges that each document loses; documents are added in batches of ascending doc_id."""
     spark = docs.sparkSession
     work = Workspace(spark, "substring")
-    index = FingerprintIndex(spark, work, window)
-    cuts = docs.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 10_000)).first()[0] if batches > 1 else None
-    bounds = sorted(set(cuts or []))
+    quantiles = lambda n: F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [1.0], 10_000)
+    fixed, batches = batches, batches or BATCHES
+    size, cuts = docs.select(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), quantiles(batches)).first()
+    if not fixed and size > batches * BATCH_BYTES:
+        batches = -(-size // BATCH_BYTES)
+        cuts = docs.select(quantiles(batches)).first()[0]
+    windows = size // BYTES_A_WINDOW // batches
+    index = FingerprintIndex(spark, f"{work.path}/index", window, windows)
+    bounds = sorted(set(cuts or [])) if batches > 1 else []
     marks = None
     for i in range(len(bounds) + 1):
         own = docs
@@ -344,20 +403,26 @@ def removable(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES) ->
             own = own.filter(F.col("doc_id") > bounds[i - 1])
         if i < len(bounds):
             own = own.filter((F.col("doc_id") <= bounds[i]) | (F.col("doc_id").isNull() if i == 0 else F.lit(False)))
-        found = index.add(own, keep=i < len(bounds))
+        found = index.add(own, keep=i < len(bounds), windows=windows)
         marks = found if marks is None else marks.unionByName(found)
     out = work.save(index.spans(marks), "spans")
-    for path in index.runs:
-        work.drop(path.rpartition("/")[2] + "/kind=0")
+    work.drop("index")
     release(spark)
     return out
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string")).withColumn(KEY, F.xxhash64("text").bitwiseAND(0xFFFF).cast("int"))
+    """doc_id and text by their types, and a key that tells rows of one doc_id apart; 0 where there is one only."""
+    plain = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
+    several = plain.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias(f"{KEY}_doc"), F.lit(True).alias(f"{KEY}_of"))
+    n = several.count()
+    if not n:
+        return plain.withColumn(KEY, F.lit(0).cast("long"))
+    marked = plain.join(F.broadcast(several) if n <= BROADCAST_ROWS else several, plain["doc_id"].eqNullSafe(several[f"{KEY}_doc"]), "left")
+    return marked.withColumn(KEY, F.when(F.col(f"{KEY}_of"), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))).drop(f"{KEY}_doc", f"{KEY}_of")
 
 
-def _joined(docs: DataFrame, window: int, batches: int) -> DataFrame:
+def _joined(docs: DataFrame, window: int, batches: int | None) -> DataFrame:
     keyed = _keyed(docs)
     spans = removable(keyed.select("doc_id", F.col(KEY).alias("doc_key"), "text"), window, batches).select(F.col("doc_id").alias(f"{KEY}_doc"), F.col("doc_key").alias(f"{KEY}_of"), F.col("spans").alias(SPANS))
     return keyed.join(spans, keyed["doc_id"].eqNullSafe(spans[f"{KEY}_doc"]) & (keyed[KEY] == spans[f"{KEY}_of"]), "left").drop(f"{KEY}_doc", f"{KEY}_of", KEY)
@@ -373,7 +438,7 @@ def _kept(words: list, spans: bytes | None) -> list:
     return out + words[at:]
 
 
-def deduplicate(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES) -> DataFrame:
+def deduplicate(docs: DataFrame, window: int = WINDOW, batches: int | None = None) -> DataFrame:
     """The rows with what started earlier taken out of their texts: a document that loses words has the kept ones joined by one space; the others stay as they are. Adds n_removed."""
     joined = _joined(docs, window, batches)
     fields = [f for f in joined.schema if f.name not in (SPANS, "n_removed")]
@@ -393,7 +458,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES) -
     return joined.select(*(f.name for f in fields), SPANS).mapInArrow(trimmed(run), schema)
 
 
-def digests(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES) -> DataFrame:
+def digests(docs: DataFrame, window: int = WINDOW, batches: int | None = None) -> DataFrame:
     joined = _joined(docs.select("doc_id", "text"), window, batches)
 
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
