@@ -95,7 +95,7 @@ def main(argv: list[str] | None = None) -> int:
         elif args.command == "bench":
             with tempfile.TemporaryDirectory() as folder:
                 found = benchmark.run(spark, folder, args.rows, args.runs)
-            benchmark.write(found, args.out)
+            benchmark.write(found, args.out, benchmark.environment(spark))
             print(json.dumps(benchmark.summary(found), indent=1))
         else:
             engine = Engine(spark, EngineConfig(mode=ExecutionMode.TUPLE if args.tuple else ExecutionMode.VECTORIZED, batch_size=args.batch_size, strict=args.strict))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import csv
 import json
 import math
+import os
+import platform
 import statistics
 import time
 from collections import defaultdict
@@ -87,9 +89,28 @@ def summary(found: list[Observation]) -> list[dict]:
     return out
 
 
-def write(found: list[Observation], folder: str) -> None:
+def environment(spark: SparkSession) -> dict:
+    """Where a run was made."""
+    system = spark._jvm.java.lang.System
+    return {
+        "spark": spark.version,
+        "java": system.getProperty("java.version"),
+        "python": platform.python_version(),
+        "system": platform.platform(),
+        "processor": platform.processor() or platform.machine(),
+        "cpus": os.cpu_count(),
+        "master": spark.sparkContext.master,
+        "shuffle_partitions": spark.conf.get("spark.sql.shuffle.partitions"),
+        "adaptive": spark.conf.get("spark.sql.adaptive.enabled"),
+    }
+
+
+def write(found: list[Observation], folder: str, where: dict | None = None) -> None:
+    """Raw observations as CSV and JSON, the summary with its chart, and the environment."""
     target = Path(folder)
     target.mkdir(parents=True, exist_ok=True)
+    (target / "raw.json").write_text(json.dumps([asdict(o) for o in found], indent=0))
+    (target / "environment.json").write_text(json.dumps(where or {}, indent=1))
     with (target / "raw.csv").open("w", newline="") as f:
         rows = csv.DictWriter(f, ["experiment", "variant", "run", "seconds", "rows"])
         rows.writeheader()
