@@ -57,7 +57,7 @@ SHARED: dict[str, str] = {
     "join_null_keys": f"SELECT x.a AS xa, y.b AS yb FROM (SELECT * FROM {NULLS}) x JOIN (SELECT * FROM {NULLS}) y ON x.a = y.a",
     "join_self": "SELECT a.n_name AS x, b.n_name AS y FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey",
     "join_multiway": "SELECT l.l_orderkey AS okey, l.l_linenumber AS line, c.c_name AS customer, n.n_name AS nation, r.r_name AS region FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey WHERE l.l_quantity > 40",
-    "join_mixed_numeric_keys": "SELECT p.p_partkey AS pkey, l.l_orderkey AS okey, l.l_linenumber AS line FROM part p JOIN lineitem l ON p.p_size = l.l_quantity WHERE p.p_partkey < 20",
+    "join_mixed_numeric_keys": "SELECT p.k AS size, p.n * l.n AS matches FROM (SELECT p_size AS k, COUNT(*) AS n FROM part GROUP BY p_size) p JOIN (SELECT l_quantity AS k, COUNT(*) AS n FROM lineitem GROUP BY l_quantity) l ON p.k = l.k",
     "agg_group": "SELECT l_returnflag AS flag, l_linestatus AS status, COUNT(*) AS n, ROUND(SUM(l_quantity), 2) AS qty, ROUND(AVG(l_extendedprice), 4) AS price, MIN(l_discount) AS lo, MAX(l_tax) AS hi FROM lineitem GROUP BY l_returnflag, l_linestatus",
     "agg_group_expr": "SELECT l_linenumber + 1 AS k, ROUND(SUM(l_extendedprice * l_discount), 2) AS v FROM lineitem GROUP BY l_linenumber + 1",
     "agg_min_max_string_bool": "SELECT MIN(o_orderstatus) AS lo, MAX(o_orderstatus) AS hi, MIN(o_totalprice > 1000) AS every, MAX(o_totalprice > 300000) AS some FROM orders",
@@ -66,7 +66,7 @@ SHARED: dict[str, str] = {
     "agg_over_join": "SELECT n.n_name AS nation, COUNT(*) AS n, ROUND(SUM(o.o_totalprice), 2) AS total FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name",
     "distinct_via_group": "SELECT o_orderstatus FROM orders GROUP BY o_orderstatus",
     "sort_multi": "SELECT o_orderstatus, o_totalprice, o_orderkey FROM orders ORDER BY o_orderstatus, o_totalprice DESC, o_orderkey",
-    "sort_output_alias": "SELECT o_orderkey, o_totalprice * 2 AS twice FROM orders ORDER BY twice DESC, o_orderkey LIMIT 20",
+    "sort_output_alias": "SELECT o_orderkey, o_totalprice * 2 AS twice FROM orders ORDER BY twice DESC, o_orderkey",
     "sort_nulls": f"SELECT a, b FROM {NULLS} ORDER BY a NULLS FIRST, b LIMIT 2",
     "topk": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10",
     "limit_zero": "SELECT COUNT(*) AS n FROM (SELECT o_orderkey FROM orders LIMIT 0) t",
