@@ -116,6 +116,7 @@ ESTIMATED = {
     "unknown": "SELECT l_orderkey FROM lineitem WHERE l_quantity * 2 < 10",
     "groups": "SELECT o_orderstatus, COUNT(*) AS n FROM orders GROUP BY o_orderstatus",
     "join": "SELECT o.o_orderkey AS k FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey",
+    "propagated": "SELECT t.s AS s, COUNT(*) AS n FROM (SELECT o.o_orderstatus AS s, c.c_custkey AS k FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey) t GROUP BY t.s",
     "limit": "SELECT o_orderkey FROM orders LIMIT 7",
 }
 
@@ -215,6 +216,7 @@ UNION ALL SELECT 'range', CAST(floor(COUNT(*) * ((10 - MIN(l_quantity)) / (MAX(l
 UNION ALL SELECT 'unknown', CAST(floor(COUNT(*) * CAST(0.1 AS DOUBLE)) AS BIGINT) FROM lineitem
 UNION ALL SELECT 'groups', COUNT(DISTINCT o_orderstatus) FROM orders
 UNION ALL SELECT 'join', CAST(floor((SELECT COUNT(*) FROM orders) * (SELECT COUNT(*) FROM customer) / CAST(greatest((SELECT COUNT(DISTINCT o_custkey) FROM orders), (SELECT COUNT(DISTINCT c_custkey) FROM customer)) AS DOUBLE)) AS BIGINT)
+UNION ALL SELECT 'propagated', COUNT(DISTINCT o_orderstatus) FROM orders
 UNION ALL SELECT 'limit', 7"""
         }
         | {"stats": " UNION ALL ".join(column.format(c=c) for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))}

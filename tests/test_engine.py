@@ -228,6 +228,10 @@ def test_estimates(engine):
     assert estimated(engine, "SELECT k, COUNT(*) AS n FROM numbers GROUP BY k") == 4
     assert estimated(engine, "SELECT COUNT(*) AS n FROM numbers") == 1
     assert estimated(engine, "SELECT a.value AS v FROM numbers a JOIN numbers b ON a.k = b.k") == 2500
+    # distinct values pass joins and projections
+    assert estimated(engine, "SELECT a.k AS k, COUNT(*) AS n FROM numbers a JOIN numbers b ON a.value = b.value GROUP BY a.k") == 4
+    assert estimated(engine, "SELECT t.g AS g, COUNT(*) AS n FROM (SELECT a.k AS g, a.value AS v FROM numbers a) t GROUP BY t.g") == 4
+    assert estimated(engine, "SELECT t.g AS g FROM (SELECT a.k AS g, a.value AS v FROM numbers a) t WHERE t.g = 1") == 25
     assert estimated(engine, "SELECT a.value AS v FROM numbers a JOIN numbers b ON a.value = b.value WHERE a.value >= 50 LIMIT 7") == 7
 
 
