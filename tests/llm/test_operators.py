@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from kestrelq.llm import bpe, chat, decontaminate, langid, multiset, quality, repair, simhash, substring, wrapper
-from kestrelq.llm.common import Workspace
+from kestrelq.llm.common import Workspace, small_hash_sample
 from kestrelq.llm.graph import components
 
 
@@ -63,14 +63,49 @@ def test_quality_edges(spark, judged, docs, empty, clashing):
 
 def test_quality_gradient_is_that_of_logistic_loss():
     rng = np.random.default_rng(0)
-    rows = rng.normal(size=(200, len(quality.NAMES)))
+    rows = rng.normal(size=(3_000, len(quality.NAMES)))
     rows[:, quality.NAMES.index("log_words")] = 9
-    labels = (rows[:, 0] + 0.3 * rng.normal(size=200) > -0.5).astype(int)
+    labels = (rows[:, 0] + 0.3 * rng.normal(size=len(rows)) > -0.5).astype(int)
     found = quality.fit(rows, labels)
     assert np.corrcoef(found.raw(rows), rows[:, 0])[0, 1] > 0.9
     assert abs((found.score(rows) >= 0.5).mean() - labels.mean()) < 0.02
 
 
+def test_quality_weights_are_the_best_for_the_pairs():
+    """Bradley-Terry by brute force: plain gradient steps on the same pairs reach the same weights."""
+    rng = np.random.default_rng(2)
+    rows = np.zeros((80, len(quality.NAMES)))
+    rows[:, :3], rows[:, quality.NAMES.index("log_words")] = rng.normal(size=(80, 3)), 9
+    labels = (rows[:, 0] - rows[:, 1] + rng.normal(size=80) > 0).astype(int)
+    found = quality.fit(rows, labels, pairs=500, ridge=0.05)
+    z, good, bad, draw = quality.standard(rows, found.mean, found.spread), np.flatnonzero(labels == 1), np.flatnonzero(labels == 0), np.random.default_rng(1)
+    each = min(500, len(good) * len(bad))
+    x = z[draw.choice(good, each)] - z[draw.choice(bad, each)]
+    w = np.zeros(x.shape[1])
+    for _ in range(4000):
+        w += 0.2 * (x.T @ (1 / (1 + np.exp(x @ w))) / each - 0.05 * w)
+    assert np.abs(w - found.weights).max() < 1e-3
+    # the cut leaves the share of bad labels below it
+    assert abs((found.raw(rows) < found.cut).sum() - len(bad)) <= 1
+
+
+def test_quality_learns_words(spark):
+    """Texts that differ in their words alone."""
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(rng.choice(["alpha", "beta", "gamma"] if i % 2 else ["delta", "zeta", "theta"], 30)), i % 2) for i in range(160)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string"), spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id bigint, quality int")
+    assert all(r.predicted == r.doc_id % 2 for r in quality.classify(docs, labels).collect())
+
+
+def test_quality_repeated_rows_and_long_texts(spark, judged):
+    """A doc_id that is repeated teaches once, whatever its rows; a very long text is scored whole."""
+    docs, labels, _ = judged
+    many = docs.unionByName(docs.filter("doc_id = 0").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(500)))).drop("k"))
+    assert (quality.labelled(docs, labels)[0] == quality.labelled(many, labels.unionByName(labels))[0]).all()
+    long = quality.features("word next\n" * 300_000)
+    assert long.shape == (len(quality.NAMES),) and np.isfinite(long).all()
+
+
 # --- op2 -----------------------------------------------------------------------------------------------------------------------
 
 
@@ -117,8 +152,79 @@ def test_wrapper_takes_the_article(spark):
 def test_wrapper_matches_trees():
     a, b = (wrapper.shape(wrapper.parse(f"<div><p>one</p><ul><li>{x}</li><li>z</li></ul><p>two {x}</p></div>")) for x in ("x", "y"))
     size, pairs = wrapper.match(a, b)
-    assert size == len(pairs) == 6
-    assert {(p.path.rpartition("/")[2], p.texts == q.texts) for p, q in pairs if p.texts} == {("p", True), ("li", False), ("p", False)}
+    assert size == len(pairs) == a.size == 6
+    assert {(p.label, p.texts == q.texts) for p, q in pairs if p.texts} == {("p", True), ("li", False), ("p", False)}
+
+
+def _most(a, b):
+    """The size of the largest mapping, by trying all."""
+    if a.label != b.label:
+        return 0
+
+    def of(xs, ys):
+        if not xs or not ys:
+            return 0
+        return max(of(xs[1:], ys), of(xs, ys[1:]), of(xs[1:], ys[1:]) + _most(xs[0], ys[0]))
+
+    return 1 + of(a.kids, b.kids)
+
+
+def test_wrapper_mappings_are_largest():
+    rng = np.random.default_rng(4)
+
+    def tree(depth):
+        tag = rng.choice(["div", "ul", "section"])
+        return f"<{tag}>{''.join(tree(depth - 1) for _ in range(rng.integers(0, 4))) if depth else 't'}</{tag}>"
+
+    for _ in range(60):
+        a, b = (wrapper.shape(wrapper.parse(f"<div>{tree(3)}{tree(2)}</div>")) for _ in range(2))
+        assert wrapper.match(a, b)[0] == _most(a, b)
+
+
+def _neutral(i, rng, words=60):
+    """No telling tag or name: more text is template than article."""
+    prose = " ".join(f"w{x}" for x in rng.integers(0, 10**6, words))
+    legal = " ".join(f"term{k} applies to everyone," for k in range(150))
+    body = f"<div class=k1><div class=k2><a href=/a>Start</a> <a href=/b>Goods {i}</a></div><div class=k3><h1>Head {i}</h1><p>{prose}</p><p>Read our <b>rules</b> first</p><p>Last of {i}</p></div><div class=k4><p>{legal}</p></div></div>"
+    return f"<html><body>{body}</body></html>", f"Head {i} {prose} Last of {i}"
+
+
+def test_wrapper_is_induced_without_telling_names(spark):
+    """The template outweighs the article, so that no page tells its container alone; constant blocks with inline markup go."""
+    rng = np.random.default_rng(6)
+    made = [_neutral(i, rng) for i in range(40)]
+    pages = spark.createDataFrame([(i, f"https://n.example/{i}", h) for i, (h, _) in enumerate(made)], "page_id bigint, url string, html string")
+    found = {r.page_id: r.text for r in wrapper.main_text(pages).collect()}
+    assert all(found[i] == text for i, (_, text) in enumerate(made))
+    assert not any(wrapper.extract(h) == text for h, text in made)
+
+
+def test_wrapper_copies_and_second_layouts():
+    """Copies of one page make no template of its article; pages of another layout have a container of their own."""
+    rng = np.random.default_rng(7)
+    pages = [_neutral(i, rng) for i in range(6)]
+    other = [f"<html><body><table><tr><td><p>{' '.join(f'v{x}' for x in rng.integers(0, 10**6, 80))}</p></td></tr></table><center>Always this here</center><center>And that</center></body></html>" for _ in range(6)]
+    found = wrapper.induce([*[h for h, _ in pages], *[pages[0][0]] * 9, *other])
+    assert len(found["layouts"]) == 2
+    assert all(wrapper.extract(h, found) == text for h, text in pages)
+    assert all(wrapper.extract(h, found) == re.search("<p>(.*)</p>", h)[1] for h in other)
+    alone = wrapper.induce([pages[0][0]] * 9)
+    assert alone == {"layouts": []}
+
+
+def test_wrapper_long_and_deep_pages():
+    rows = "".join(f"<tr><td>{i}</td><td>{'<b>x</b>' if i % 3 else '<p>y</p>'}</td></tr>" for i in range(4000))
+    long = f"<html><body><article><p>{'word ' * 400_000}</p><table>{rows}</table></article></body></html>"
+    assert wrapper.extract(long).startswith("word word") and wrapper.induce([long, long]) == {"layouts": []}
+    assert wrapper.extract("<div>" * 20_000 + "deep") == "deep"
+
+
+def test_wrapper_sample_of_one_large_host(spark):
+    """Of a dominating host few rows reach the ranking window, those with the smallest hashes."""
+    rows = spark.range(5_000).selectExpr("CASE WHEN id < 4990 THEN 'big' ELSE 'small' END AS host", "id AS page_id", "CAST(id AS string) AS url")
+    found = small_hash_sample(rows, "host", ["page_id", "url"], 16)
+    want = {r.page_id for h in ("big", "small") for r in rows.filter(F.col("host") == h).orderBy(F.xxhash64("page_id", "url")).limit(16).collect()}
+    assert {r.page_id for r in found.collect()} == want
 
 
 def test_wrapper_without_template_and_edges(spark, empty):
@@ -159,6 +265,35 @@ def test_langid_mixtures(languages):
     assert len(model.proportions(LANGS["fr"])[0]) == 1
 
 
+def test_langid_em_finds_the_best_proportions():
+    """By brute force: no point of a fine grid has a higher likelihood."""
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        rows, often = np.log(rng.dirichlet(np.ones(30), 2).T), rng.integers(1, 5, 30).astype(float)
+        _, found = langid._em(rows, often, np.array([0.9, 0.1]))
+        grid = np.linspace(0.0005, 0.9995, 2000)
+        best = max(float(often @ np.log(np.exp(rows) @ np.array([1 - g, g]))) for g in grid)
+        assert found >= best - 1e-2
+
+
+def test_langid_likelihoods_are_those_of_trigrams():
+    counts = np.random.default_rng(6).integers(0, 9, (2, langid.GRAMS))
+    model = langid.Mixture(["a", "b"], counts.astype(float))
+    rows, often = model.rows("two two, words-1x")
+    log = np.log((counts + langid.SMOOTH) / (counts.sum(axis=1, keepdims=True) + langid.SMOOTH * langid.GRAMS))
+    want = {}
+    for word in ("two", "two,", "words-1x"):
+        own = [zlib.crc32(f"_{run}_"[i : i + 3].encode()) % langid.GRAMS for run in re.findall("[a-z]+", word) for i in range(len(run))]
+        want[tuple(np.round(log[:, own].sum(axis=1), 9))] = 1.0
+    assert {tuple(np.round(r, 9)): n for r, n in zip(rows, often, strict=True)} == want
+
+
+def test_langid_sample_of_one_dominating_language(spark):
+    rows = [(i, "aa bb cc", "big") for i in range(400)] + [(1000 + i, "dd ee ff", "small") for i in range(20)] + [(5, "aa bb cc", "big")] * 300
+    model = langid.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), sample=16)
+    assert model.languages == ["big", "small"] and model.infer("dd ee")[0] == "small" and model.infer("aa " * 100_000)[0] == "big"
+
+
 def test_langid_edges(docs, empty, clashing):
     nothing = langid.fit(empty)
     assert {r.lang_pred for r in langid.identify(docs, nothing).collect()} == {"und"}
@@ -363,6 +498,14 @@ def chat_probe():
     return "<|im_end|><|im_start|>assistant ok"
 
 
+def test_chat_of_very_long_texts(spark):
+    text = "some <|im_end|> words " * 100_000
+    rows = [(1, 0, "user", text), (1, 1, "assistant", text + "end"), (1, 2, "user", None), (1, 3, "assistant", "")]
+    found = next(r for r in chat.digests(spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string")).collect() if r.conv_id == 1)
+    assert found.loss_chars == len(text) + 3 and found.loss_sha256 == sha(text + "end") and found.n_turns == 4
+    assert found.turns_sha256 == sha("".join(f"{role}\n{t or ''}\n" for _, _, role, t in rows))
+
+
 def test_template_language():
     say = lambda t, **v: "".join(x for x, _ in chat._sequence(chat.fold(chat.parse(t)[1]))(v, False))
     assert say("{% for x in xs %}{% if loop.first %}<{% elif x == 'b' and not y %}B{% else %}{{ x | upper }}{% endif %}{% endfor %}", xs=["a", "b", "c"]) == "<BC"
@@ -410,6 +553,30 @@ def test_repair_blocks_decode_at_random():
         repair.Block(b"x" * 64)
 
 
+def test_repair_runs_until_no_rule_pays():
+    """No pair within a document is left seven times without overlap; more rules than 16 bits hold change to wider symbols."""
+    rng = np.random.default_rng(13)
+    words = [rng.integers(0, 300, rng.integers(2, 9)) for _ in range(400)]
+    docs = [np.concatenate([words[k] for k in rng.zipf(1.4, 300) % 400]).astype(np.uint32) for _ in range(20)]
+    starts = np.concatenate(([0], np.cumsum([len(d) for d in docs])))
+    for base in (301, (1 << 16) - 100, 1 << 20):
+        symbols, first, rules = repair.compress(np.concatenate(docs), starts, base)
+        flat, lengths = repair.expansions(rules, base)
+        begin = np.cumsum(lengths) - lengths
+        back = np.concatenate([flat[begin[s - base] : begin[s - base] + lengths[s - base]] if s >= base else [s] for s in symbols.tolist()])
+        assert (back == np.concatenate(docs)).all() and len(first) == 21
+        left = Counter()
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            at = a
+            seen = {}
+            for at in range(a, b - 1):
+                pair = (int(symbols[at]), int(symbols[at + 1]))
+                if seen.get(pair) != at - 1:
+                    left[pair] += 1
+                    seen[pair] = at
+        assert max(left.values()) < repair.LEAST_COUNT
+
+
 def test_repair_encoder_on_odd_characters():
     library = Tokenizer.from_file(repair.default_vocabulary())
     encoder = repair.WordEncoder(open(repair.default_vocabulary(), encoding="utf-8").read())
@@ -444,6 +611,69 @@ def test_multiset_texts_and_equality(docs, texts):
     assert all(0 <= x <= 1 for r in rows for x in (r.near_edited, r.near_next))
 
 
+def _plain_print(text):
+    """Pairs and 64 signed words, by their definition: xxHash64 of a pair is that of the second piece, seeded with that of the first."""
+    from xxhash import xxh64_intdigest
+
+    pairs, words = 0, [0] * 64
+    for paragraph in text.split("\n"):
+        before = ""
+        for piece in paragraph.split(" "):
+            h = xxh64_intdigest(piece, xxh64_intdigest(before, 42))
+            pairs += 1
+            # sums hold bit i of the lower half, then of the upper half
+            words = [w + (1 if h >> i & 1 else -1) for i, w in enumerate(words)]
+            before = piece
+    return pairs, words
+
+
+def test_multiset_equals_its_definition(spark, texts):
+    rows = [(i, t) for i, t in enumerate(texts) if t is not None and len(t) < 20_000]
+    made = multiset.vectors(spark.createDataFrame(rows, "id bigint, t string"), "id", "t").collect()
+    for r in made:
+        pairs, words = _plain_print(dict(rows)[r.id])
+        assert r.pairs == pairs and [x - (x >> 31 << 32) for x in r.words] == words
+    near = {(r.doc_id): (r.near_edited, r.near_next) for r in multiset.digests(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    order = sorted(rows, reverse=True)
+
+    def likeness(a, b):
+        x, y = (np.array(_plain_print(t)[1], float) for t in (a, b))
+        return max(0.0, 2 * (x @ y) / (x @ x + y @ y)) if (x @ x + y @ y) else 1.0
+
+    for k, (i, t) in enumerate(order):
+        after = order[(k + 1) % len(order)][1]
+        third = len(t) // 3
+        assert np.allclose(near[i], (likeness(t, t[: len(t) - third] + after[:third]), likeness(t, after)))
+
+
+def test_multiset_neighbours_in_many_buckets(spark, monkeypatch):
+    """Even cuts between quantiles, ids far apart, negative and equal ones."""
+    monkeypatch.setattr(multiset, "SIDE", 2)
+    monkeypatch.setattr(multiset, "BUCKET_BYTES", 3)
+    rng = np.random.default_rng(8)
+    ids = [*map(int, rng.integers(-(2**60), 2**60, 40)), *range(-5, 20), 3, 3, -(2**63), 2**63 - 1]
+    rows = [(i, f"t{k:03}") for k, i in enumerate(ids)] + [(None, "none")]
+    found = multiset.neighbours(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    order = sorted((r for r in rows if r[0] is not None), key=lambda r: (-r[0], r[1])) + [rows[-1]]
+    assert {(r.doc_id, r.text, r.next_text) for r in found} == {(*r, order[(k + 1) % len(order)][1]) for k, r in enumerate(order)}
+    by = {r.row: r.text for r in found}
+    assert len(by) == len(rows) and all(by[r.next_row] == r.next_text for r in found)
+
+
+def test_columns_of_the_operators_own_names(spark, clashing):
+    """op5, op7 and op8 ignore columns named like theirs."""
+    mine = clashing.withColumns({c: F.lit("mine") for c in ("fingerprint", "component_id", "near_next", "edited", "ids", "start", "n_tokens", "id", "t", "part")})
+    n = clashing.count()
+    assert simhash.near_duplicates(mine).count() == multiset.digests(mine).count() == n
+    assert repair.read_digests(spark, _corpus(spark, mine)).count() == n
+
+
+def _corpus(spark, docs):
+    target = f"{Workspace(spark, 'corpus').path}/blocks"
+    repair.write_corpus(docs, target, parts=3)
+    return target
+
+
 def test_multiset_is_homomorphic(spark):
     rows = [(1, "one two\nthree four five\nsix"), (2, "six\none two\nthree four five"), (3, "three four five"), (4, "one two\nsix"), (5, "one two\none two\nsix")]
     prints = multiset.vectors(spark.createDataFrame(rows, "id bigint, t string"), "id", "t").select("id", F.struct("pairs", "equal", "words").alias("p"))
@@ -510,22 +740,39 @@ def test_substring_equals_brute_force(docs, texts, batches):
     assert rows_of(substring.digests(docs, 20, batches)) == sorted(plain_removal(rows, 20), key=repr)
 
 
-def test_substring_index_compacts_and_goes_on(spark, texts):
-    index = substring.FingerprintIndex(spark, Workspace(spark, "t"), 5, buckets=4, most_runs=2)
+def test_substring_index_compacts_and_opens_again(spark, texts):
+    """Every batch is added to an index that is opened anew; runs are compacted; equal doc_ids and fewer windows than planned do no harm."""
+    path = Workspace(spark, "t").path
     rows = [(i, t) for i, t in enumerate(texts) if t and len(t) < 5000]
-    spans = []
-    for k in range(0, len(rows), 10):
-        part = substring._keyed(spark.createDataFrame(rows[k : k + 10], "doc_id bigint, text string")).select("doc_id", F.col(substring.KEY).alias("doc_key"), "text")
+    spans, most = [], 0
+    for k in range(0, len(rows), 8):
+        index = substring.FingerprintIndex(spark, path, 5, buckets=4)
+        part = substring._keyed(spark.createDataFrame(rows[k : k + 8], "doc_id bigint, text string")).select("doc_id", F.col(substring.KEY).alias("doc_key"), "text")
         spans += index.spans(index.add(part)).collect()
-        assert len(index.runs) <= 2
+        most = max(most, len(index.runs))
+    assert index.buckets == 4 and index.n == len(range(0, len(rows), 8)) and 1 < most < index.n
     want = {i: n for i, _, n, _ in plain_removal(rows, 5) if n}
     assert {r.doc_id: int(np.diff(np.frombuffer(r.spans, "<u4").reshape(-1, 2).astype(int)).sum()) for r in spans} == want
 
 
+def test_substring_rows_of_one_doc_id(spark, texts):
+    """They are told apart by their whole texts' hashes, and a task's memory of frequent windows keeps the earliest place."""
+    rows = [(3, texts[5]), (3, texts[7]), (1, texts[9]), (3, texts[5] + " more words"), (2, "a b c " * 30), (2, "b c a " * 30)]
+    assert rows_of(substring.digests(spark.createDataFrame(rows, "doc_id bigint, text string"), 20, 2)) == sorted(plain_removal(rows, 20), key=repr)
+
+
+def test_substring_frequent_windows():
+    known = substring._Frequent()
+    columns = lambda main, doc: (np.array(main, np.uint64), np.zeros(len(main), np.uint32), np.array(doc, np.int64), np.zeros(len(main), np.uint32))
+    known.add(*columns([5, 9], [50, 90]))
+    assert known.later(*columns([5, 7, 9], [60, 70, 10])).tolist() == [True, False, False]
+    assert known.later(*columns([9], [20])).tolist() == [True]
+
+
 def test_substring_packing():
     rng = np.random.default_rng(1)
-    columns = [rng.integers(0, 2**64, 50, dtype=np.uint64), rng.integers(0, 2**16, 50).astype(np.uint16), np.sort(rng.integers(-(2**62), 2**62, 50)), rng.integers(0, 2**16, 50).astype(np.uint16), rng.integers(0, 2**32, 50).astype(np.uint32)]
-    for a, b in zip(columns, substring._unpack(substring._pack(*columns, raw=2), *substring.BATCH, raw=2), strict=True):
+    columns = [rng.integers(0, 2**64, 50, dtype=np.uint64), rng.integers(0, 2**24, 50).astype(np.uint32), np.sort(rng.integers(-(2**62), 2**62, 50)), rng.integers(-(2**63), 2**63 - 1, 50), rng.integers(0, 2**32, 50).astype(np.uint32)]
+    for a, b in zip(columns, substring._unpack(substring._pack(columns, substring.BATCH), substring.BATCH), strict=True):
         assert (a == b).all()
 
 
@@ -563,7 +810,7 @@ def plain_contamination(docs, items):
 
 @pytest.mark.parametrize("broadcast", [10**6, 0])
 def test_decontamination_equals_brute_force(spark, docs, texts, broadcast, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BROADCAST_WORDS", broadcast)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", broadcast)
     items = [(1, " ".join(texts[9].split()[28:60])), (2, texts[10][:200].upper()), (3, "word"), (4, "Été"), (5, None), (6, "..."), (7, "absent words here"), (8, texts[9][-300:]), (8, texts[9][-300:]), (None, texts[5][:100]), (9, "same words the same words the same words")]
     benchmark = spark.createDataFrame(items, "item_id bigint, text string").withColumn("words", F.lit("mine"))
     rows = [*enumerate(texts), (5, texts[5]), (None, texts[9])]

@@ -67,6 +67,36 @@ def test_substrings_and_decontamination_and_tokens(spark, stages):
     assert stages[5].filter(~F.col("round_trip")).count() == 0
 
 
+def test_near_duplicates_recall_against_all_rows(spark):
+    """Queries are the ids divisible by 50, against all rows: every text of similarity 0.8 or more is in the query's group."""
+    from kestrelq.llm import simhash
+    from kestrelq.llm.common import Workspace
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    group = {r.doc_id: r.group for r in simhash.similar_texts(docs, Workspace(spark, "recall")).select("doc_id", "group").collect()}
+    made = simhash.Shingles(simhash.STAGE_SHINGLE)
+    sets = {r.doc_id: made.of(r.text) for r in docs.select("doc_id", "text").collect()}
+    alike = [(a, b) for a in sets if a % 50 == 0 for b in sets if a != b and (n := simhash._common(sets[a], sets[b])) >= 0.8 * (len(sets[a]) + len(sets[b]) - n)]
+    assert alike and all(group[a] == group[b] for a, b in alike)
+
+
+def test_stages_pass_clashing_columns_and_edges(spark, docs, empty, clashing, tmp_path):
+    """Nulls, empty and long texts, repeated rows, empty tables, and columns named like those of the operators."""
+    extra = clashing.withColumns({c: F.lit("mine") for c in ("n_removed", "round_trip", "n_tokens", "component_id", "KEY")})
+    for name, start in (("edges", docs), ("empty", empty), ("clashing", extra)):
+        now = start
+        for step, stage in corpus_pipeline.STAGES:
+            made = stage(spark, now, SF)
+            assert name == "clashing" and step == "bpe" or made.columns[: len(start.columns)] == start.columns
+            made.write.parquet(str(tmp_path / name / step))
+            now = spark.read.parquet(str(tmp_path / name / step))
+        got = now.collect()
+        assert len(now.columns) == len(start.columns) + 3 and (name != "empty" or not got)
+        if name == "clashing":
+            assert {"token_ids_", "n_tokens_", "round_trip_"} <= set(now.columns)
+            assert all(r[c] == "mine" for r in got for c in ("score", "predicted", "n_removed", "token_ids", "round_trip", "KEY")) and got
+
+
 def test_registry_has_all_ten(spark):
     assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 11))
     assert set(registry.oracle_sql()) <= set(registry.queries())
