@@ -9,12 +9,14 @@ texts share, which gives the likeness.
 
 Sums are plain sums of packed counters: a 64-bit integer counts two bits of the pairs' hashes, so that 32 sums carry 64 words.
 
-The neighbour of a document (descending doc_id; after the last the first) is found in buckets of doc_id, cut at approximate quantiles:
-one exchange of the texts, and for each bucket one row more, the first document of the next bucket.
-
-Defined results: a null text counts as empty; an empty text has one empty paragraph of one pair; null doc_ids come last and rows of equal
-doc_id in the order of their texts, so each row has a neighbour; a single row is its own; an empty table gives an empty one; other
-columns are ignored.
+The neighbour of a document (descending doc_id; after the last the first) is found in buckets of doc_id, cut at approximate quantiles and
+evenly between these, so many that each has about `BUCKET_BYTES` of text: one exchange of the texts, and for each bucket one row more, the
+first document of the next bucket.
+
+Defined results: a null text counts as empty; an empty text has one empty paragraph of one pair; very long texts are summed like others, in
+words modulo 2^32; null doc_ids come last and rows of equal doc_id in the order of their texts, so each row has a neighbour; equal texts
+have equal fingerprints, so ties and repeated rows get equal results up to their neighbours; a single row is its own; an empty table
+gives an empty one; other columns, also those named like its own, are ignored.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 from kestrelq.llm.common import Workspace, release, table
 
 LANES, SUMS, WORD, EQUAL = 64, 32, 1 << 32, 1 << 32
-#: Buckets of doc_id: SIDE * SIDE at most, found by two searches of SIDE edges.
-SIDE = 32
+#: Quantiles of doc_id: SIDE * SIDE at most, found by two searches of SIDE edges; each is cut evenly into buckets of so many bytes of text.
+SIDE, BUCKET_BYTES = 32, 1 << 26
 #: A bit of each half of a 64-bit hash.
 HALVES = 0x0000000100000001
 
@@ -92,16 +94,23 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(alone == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), both / alone))
 
 
-def _bucket(bounds: list[int]) -> Column:
-    """How many of the sorted bounds are below doc_id."""
-    rows = [bounds[i : i + SIDE] for i in range(0, len(bounds), SIDE)]
-    if not rows:
-        return F.lit(0)
-    longs = lambda xs: F.array(*(F.lit(x).cast("long") for x in xs))
-    below = lambda xs: F.size(F.filter(xs, lambda b: b < F.col("doc_id")))
-    full = below(longs([r[-1] for r in rows]))
-    rest = F.get(F.array(*(longs(r) for r in rows)), full)
-    return full * SIDE + F.coalesce(F.greatest(below(rest), F.lit(0)), F.lit(0))
+def _bucket(bounds: list[int], least: int, most: int, cuts: int) -> Column:
+    """A number that grows with doc_id: how many of the sorted bounds are below it, and its place among even cuts between these."""
+    if not bounds:
+        coarse = F.lit(0)
+    else:
+        rows = [bounds[i : i + SIDE] for i in range(0, len(bounds), SIDE)]
+        longs = lambda xs: F.array(*(F.lit(x).cast("long") for x in xs))
+        below = lambda xs: F.size(F.filter(xs, lambda b: b < F.col("doc_id")))
+        full = below(longs([r[-1] for r in rows]))
+        rest = F.get(F.array(*(longs(r) for r in rows)), full)
+        coarse = full * SIDE + F.coalesce(F.greatest(below(rest), F.lit(0)), F.lit(0))
+    if cuts == 1:
+        return coarse
+    edges = F.array(*(F.lit(float(x)) for x in (least - 1, *bounds, max(most, *bounds, least))))
+    low, high = F.get(edges, coarse), F.get(edges, coarse + 1)
+    place = F.floor((F.col("doc_id").cast("double") - low) / F.greatest(F.lit(1.0), high - low) * cuts)
+    return coarse * cuts + F.when(F.col("doc_id").isNull(), 0).otherwise(F.greatest(F.lit(0), F.least(place, F.lit(cuts - 1)))).cast("int")
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
@@ -109,9 +118,8 @@ def neighbours(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n = SIDE * SIDE
-    found = plain.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n)).first()[0]
-    bounds = sorted(set(found or []))
-    placed = plain.withColumn("bucket", _bucket(bounds))
+    found, least, most, size = plain.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n), F.min("doc_id"), F.max("doc_id"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    placed = plain.withColumn("bucket", _bucket(sorted(set(found or [])), least or 0, most or 0, -(-size // (n * BUCKET_BYTES)) or 1))
     tops = sorted(map(tuple, placed.groupBy("bucket").agg(F.max("doc_id")).collect()))  # a row a bucket
     # the last of a bucket is followed by the first of the next lower one, the last of all by the first of all
     heads = [(tops[i][0], *tops[i - 1]) for i in range(len(tops))]
