@@ -35,8 +35,9 @@ from kestrelq.llm.common import WordHashes, Workspace, factors, partitions, rele
 #: Batches of a corpus: BATCHES, or more so that each has at most BATCH_BYTES of text.
 WINDOW, BATCHES, BATCH_BYTES = 20, 4, 1 << 42
 #: Windows of a batch in a bucket and marks in a group of documents, about; bytes of text for each window, about.
-BUCKET_WINDOWS, GROUP_MARKS, BYTES_A_WINDOW = 1 << 18, 1 << 19, 6
-SLICE, PAYLOAD, MARKS_AT_ONCE, FREQUENT, BROADCAST_ROWS = 1_000_000, 4_000_000, 500_000, 1 << 17, 200_000
+BUCKET_WINDOWS, GROUP_MARKS, BYTES_A_WINDOW = 1 << 17, 1 << 18, 6
+SLICE, PAYLOAD, MARKS_AT_ONCE, FREQUENT, BROADCAST_ROWS = 1_000_000, 2_000_000, 250_000, 1 << 17, 200_000
+CACHE_WORDS = 150_000
 FIRST = np.iinfo(np.int64).min
 CHECK = np.uint64(40)
 #: Columns of its own, named so that they clash with none of the input's.
@@ -213,7 +214,7 @@ def _hashed(docs: DataFrame, window: int, buckets: int, groups: int) -> DataFram
     shift = np.uint64(64 - (buckets.bit_length() - 1))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, marks, frequent = WordHashes(), _Marks(groups), _Frequent()
+        hasher, marks, frequent = WordHashes(CACHE_WORDS), _Marks(groups), _Frequent()
         for batch in slices(batches, "text", SLICE):
             ids = batch.column("doc_id").fill_null(FIRST).to_numpy(zero_copy_only=False)
             keys = batch.column("doc_key").to_numpy(zero_copy_only=False)
