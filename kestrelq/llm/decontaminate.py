@@ -5,11 +5,13 @@ rarest word occurs, so that word alone is its necessary prefix: words are ordere
 counting only words of the benchmark), and documents' words are joined with prefixes. A candidate must pass the positional bound
 (the window, set on the prefix's offset, lies within the document, which is also the length bound) and is then verified word by word.
 
-The prefixes are broadcast while the benchmark's words are within `BROADCAST_WORDS`; beyond that the same join is a shuffled one.
+Words are taken from a text once: a table of them serves the count and the join. The prefixes are broadcast while the benchmark's windows
+and their items are within `BROADCAST_BYTES`; beyond that the same join is a shuffled one, whose large keys adaptive execution splits.
 
-Defined results: null texts have no words; an item without words has no window; a null item_id is counted in no n_items, but its
-windows hit; rows of equal doc_id and text get equal results; repeated items count once by item_id; an empty benchmark hits nothing;
-an empty documents table gives an empty result; other columns are ignored.
+Defined results: null texts have no words; very long texts are one row like others; an item without words has no window; a null item_id is
+counted in no n_items, but its windows hit; of words equally rare the smaller one is the prefix; rows of equal doc_id and text get equal
+results; repeated items count once by item_id; an empty benchmark hits nothing; an empty documents table gives an empty result; other
+columns, also those named like its own, are ignored, and `clean` passes them through.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from kestrelq.llm.common import Workspace, table
 
 WINDOW, LEAST_ITEMS = 8, 2
-BROADCAST_WORDS = 2_000_000
+BROADCAST_BYTES = 32_000_000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -39,10 +41,10 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return cut.select("item_id", F.slice("words", F.col("at"), window).alias("window")).groupBy("window").agg(F.collect_set("item_id").alias("items"))
 
 
-def prefixes(docs: DataFrame, windows: DataFrame, broadcast: bool) -> DataFrame:
+def prefixes(tokens: DataFrame, windows: DataFrame, broadcast: bool) -> DataFrame:
     """Each window with its rarest word in the documents, that word's first offset in it, and the window's items."""
     vocabulary = windows.select(F.explode("window").alias("word")).distinct()
-    spread = docs.select(F.explode(words("text")).alias("word"))
+    spread = tokens.select(F.explode("words").alias("word"))
     counts = spread.join(F.broadcast(vocabulary) if broadcast else vocabulary, "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
     placed = windows.select("window", "items", F.posexplode("window").alias("offset", "word"))
     ranked = placed.join(counts, "word", "left").select("window", "items", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "offset").alias("rank"))
@@ -58,10 +60,12 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     spark = docs.sparkSession
     work = Workspace(spark, "decontaminate")
     windows = work.save(item_windows(benchmark, window), "windows")
-    n = windows.agg(F.coalesce(F.sum(F.size("window")), F.lit(0))).first()[0]
-    small = n <= BROADCAST_WORDS
-    found = work.save(prefixes(docs, windows, small), "prefixes")
-    tokens = docs.select("doc_id", F.xxhash64("text").alias("doc_key"), words("text").alias("words"))
+    size = windows.agg(F.coalesce(F.sum(F.octet_length(F.array_join("window", " ")) + F.octet_length(F.array_join("items", " ")) + 16 * (F.size("window") + F.size("items"))), F.lit(0))).first()[0]
+    small = size <= BROADCAST_BYTES
+    # no word holds a space
+    taken = work.save(docs.select("doc_id", F.xxhash64("text").alias("doc_key"), F.array_join(words("text"), " ").alias("joined")), "words")
+    tokens = taken.select("doc_id", "doc_key", F.when(F.col("joined") == "", F.array().cast("array<string>")).otherwise(F.split("joined", " ")).alias("words"))
+    found = work.save(prefixes(tokens, windows, small), "prefixes")
     if not small:
         return _shuffled(tokens, found)
     # one pass: the words array is read where it is spread, and never leaves its row
