@@ -2,15 +2,16 @@
 
 Documents are dealt into parts by ranges of doc_id (approximate quantiles of that column, as many as a setting says), each part is
 sorted, and every part becomes blocks of about `BLOCK_IDS` ids that hold whole documents. Within a block frequent pairs of
-neighbouring symbols are replaced by new symbols, many pairs a round, until a round saves less than `LEAST_GAIN`; pairs never reach
-over the end of a document, so that each document is a slice of the block's symbols. A block stores its documents, the rules, the
-lengths of what rules stand for, and the symbols; one document, or a range of its ids, is decoded without the rest.
+neighbouring symbols are replaced by new symbols, the most frequent ones of a round at once, until no pair is left for which a rule saves
+bytes; pairs never reach over the end of a document, so that each document is a slice of the block's symbols. A block stores its
+documents, the rules, the lengths of what rules stand for, and the symbols; one document, or a range of its ids, is decoded without the rest.
 
 Blocks are rows of a Parquet table in a shared folder. The global position of a block is the sum of all earlier parts (one
 number a part reaches the driver) plus its position in its own part.
 
-Defined results: a null text counts as empty and still has the end id; a null doc_id comes first, then ascending doc_id, equal
-doc_ids in the order of their ids; repeated rows are repeated; an empty table gives an empty one; other columns are left out.
+Defined results: a null or empty text has the end id alone; a very long text is a block of its own; a null doc_id comes first, then
+ascending doc_id, equal doc_ids in the order of their ids; repeated rows are repeated; pairs that are equally frequent become rules in the
+order of their ids; an empty table gives an empty one; other columns, also those named like its own, are left out.
 """
 
 from __future__ import annotations
@@ -33,7 +34,8 @@ from kestrelq.llm.common import Workspace, partitions, slices, table, trimmed
 
 #: Fixed value: the pattern by which the lower-casing word vocabulary splits texts.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-BLOCK_IDS, PAIRS_A_ROUND, LEAST_COUNT, LEAST_GAIN, MOST_ROUNDS = 1 << 18, 4096, 8, 0.08, 12
+#: A rule and its length take 12 bytes, a replaced pair saves two, so a pair must occur seven times to be worth a rule.
+BLOCK_IDS, PAIRS_A_ROUND, FEW_PAIRS, LEAST_COUNT = 1 << 18, 2048, 600, 7
 CACHE_WORDS, CACHE_CHARS = 900_000, 48
 #: Signs that often end a word; an apostrophe, which can begin a piece of letters, is not among them.
 TAILS = ".,;:!?*#$%&|)]}\"-"
@@ -122,47 +124,84 @@ class WordEncoder:
         return b"".join([*out, self._ordinary(text[at:])])
 
 
+def _chosen(ranked: np.ndarray, half: int) -> np.ndarray:
+    """Of sorted pairs: the most frequent ones, sorted, as many as a round takes, if a rule for them saves bytes; when they are few, such that no two overlap."""
+    edge = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1], [True])))
+    count = np.diff(edge)
+    often = np.flatnonzero(count >= LEAST_COUNT)
+    if len(often) > PAIRS_A_ROUND:
+        often = often[np.argpartition(count[often], len(often) - PAIRS_A_ROUND)[-PAIRS_A_ROUND:]]
+    pairs = ranked[edge[often]]
+    if len(pairs) > FEW_PAIRS:
+        return np.sort(pairs)
+    left, right = (pairs >> pairs.dtype.type(half)).tolist(), (pairs & pairs.dtype.type((1 << half) - 1)).tolist()
+    begins, ends, out = set(), set(), []
+    # those of one symbol twice, which overlap themselves, come last
+    for k in sorted(range(len(pairs)), key=lambda k: (left[k] == right[k], -count[often[k]], left[k], right[k])):
+        if left[k] not in ends and right[k] not in begins:
+            begins.add(left[k])
+            ends.add(right[k])
+            out.append(k)
+    return np.sort(pairs[out])
+
+
+def _places(key: np.ndarray, inner: np.ndarray | None, pairs: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs that are replaced, at which places of key, and by which of them."""
+    spread, drop = key.dtype.type(SPREAD >> (64 - 2 * half) | 1), key.dtype.type(2 * half - 16)
+    # a table of hashes leads to the one pair that a place may hold; of pairs that meet there one waits for a later round
+    slot, place = np.zeros(1 << 16, np.int32), (pairs * spread) >> drop
+    slot[place] = np.arange(len(pairs), dtype=np.int32)
+    alone = slot[place] == np.arange(len(pairs))
+    pairs = pairs[alone]
+    slot[place[alone]] = np.arange(len(pairs), dtype=np.int32)
+    at = slot[(key * spread) >> drop]
+    found = pairs[at] == key
+    where = np.flatnonzero(found if inner is None else found & inner)
+    return pairs, where, at[where]
+
+
+def _apart(pairs: np.ndarray, where: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where chosen pairs overlap, every other one of a run is replaced, from the left; pairs of which too few are left wait."""
+    run = np.flatnonzero(np.concatenate(([True], np.diff(where) != 1)))
+    if len(run) < len(where):
+        even = (np.arange(len(where)) - np.repeat(run, np.diff(np.append(run, len(where))))) % 2 == 0
+        where, at = where[even], at[even]
+    pays = np.bincount(at, minlength=len(pairs)) >= LEAST_COUNT
+    if pays.all():
+        return pairs, where, at
+    keep, number = pays[at], np.cumsum(pays) - 1
+    return pairs[pays], where[keep], number[at[keep]]
+
+
 def compress(ids: np.ndarray, starts: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols, each document's first symbol (and the end), and the rules; symbol base + k stands for rule k's pair."""
-    # while all symbols fit into 16 bits, a pair is a 32-bit key; the rules are as many as leave it so
-    small = base < 1 << 16
-    most, half, wide = ((1 << 16) - base, 16, np.uint32) if small else ((1 << 31) - base, 32, np.uint64)
-    spread, drop = wide(SPREAD >> (64 - 2 * half) | 1), wide(2 * half - 16)
-    symbols = ids.astype(np.uint16 if small else np.uint32)
+    """Symbols, each document's first symbol (and the end), and the rules; symbol base + k stands for rule k's pair.
+
+    A round replaces the most frequent pairs. After one over all symbols come rounds over the pairs with a symbol of the round before, which
+    are all of their kind; when these have no frequent pair left, all symbols are counted again, until they have none.
+    """
+    symbols, half = ids.astype(np.uint16 if base <= 1 << 16 else np.uint32), 16 if base <= 1 << 16 else 32
     last = np.zeros(len(symbols), bool)
     last[starts[1:] - 1] = True
     rules: list[np.ndarray] = []
-    n_rules = 0
-    for _ in range(MOST_ROUNDS):
-        a_round = min(PAIRS_A_ROUND, most - n_rules)
-        if len(symbols) < 2 or a_round < 1:
-            break
-        key = (symbols[:-1].astype(wide) << wide(half)) | symbols[1:]
-        inner = ~last[:-1]
-        ranked = np.sort(key[inner])
-        if not len(ranked):
-            break
-        edge = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1], [True])))
-        count = np.diff(edge)
-        often = np.flatnonzero(count >= LEAST_COUNT)
-        if len(often) > a_round:
-            often = often[np.argpartition(count[often], len(often) - a_round)[-a_round:]]
-        if count[often].sum() < LEAST_GAIN * len(symbols):
-            break
-        pairs = np.sort(ranked[edge[often]])
-        # a table of hashes leads to the one pair that a position may hold; of pairs that meet there one waits for the next round
-        slot, place = np.zeros(1 << 16, np.int32), (pairs * spread) >> drop
-        slot[place] = np.arange(len(pairs), dtype=np.int32)
-        alone = slot[place] == np.arange(len(pairs))
-        pairs = pairs[alone]
-        slot[place[alone]] = np.arange(len(pairs), dtype=np.int32)
-        at = slot[(key * spread) >> drop]
-        where = np.flatnonzero((pairs[at] == key) & inner)
-        at = at[where]
-        # where chosen pairs overlap, every other one of a run is replaced, from the left
-        run = np.flatnonzero(np.concatenate(([True], np.diff(where) != 1)))
-        even = (np.arange(len(where)) - np.repeat(run, np.diff(np.append(run, len(where))))) % 2 == 0
-        where, at = where[even], at[even]
+    n_rules, spots = 0, None  # None: all
+    while len(symbols) > 1:
+        if half == 16 and base + n_rules + PAIRS_A_ROUND > 1 << 16:  # while all symbols fit into 16 bits, a pair is a 32-bit key
+            symbols, half = symbols.astype(np.uint32), 32
+        wide = np.uint32 if half == 16 else np.uint64
+        inner = ~last[:-1] if spots is None else None
+        key = ((symbols[:-1] if spots is None else symbols[spots]).astype(wide) << wide(half)) | (symbols[1:] if spots is None else symbols[spots + 1])
+        ranked = np.sort(key if inner is None else key[inner])
+        pairs = _chosen(ranked, half) if len(ranked) >= LEAST_COUNT else ranked[:0]
+        where = at = None
+        if len(pairs):
+            pairs, where, at = _places(key, inner, pairs, half)
+            where = where if spots is None else spots[where]
+            pairs, where, at = _apart(pairs, where, at)
+        if not len(pairs):
+            if spots is None:
+                break
+            spots = None
+            continue
         symbols[where] = base + n_rules + at
         last[where] = last[where + 1]
         keep = np.ones(len(symbols), bool)
@@ -170,6 +209,10 @@ def compress(ids: np.ndarray, starts: np.ndarray, base: int) -> tuple[np.ndarray
         symbols, last = symbols[keep], last[keep]
         rules.append(np.stack([pairs >> wide(half), pairs & wide((1 << half) - 1)], axis=1).astype(np.uint32))
         n_rules += len(pairs)
+        new = where - np.arange(len(where))
+        beside = np.zeros(len(symbols) + 1, bool)
+        beside[new] = beside[new - 1] = True  # before the first symbol: the spare place at the end
+        spots = np.flatnonzero(beside[:-1] & ~last)
     first = np.concatenate(([0], np.flatnonzero(last) + 1))
     return symbols, first, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
 
