@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from kestrelq.llm.common import WordHashes, Workspace, factors, partitions, slices, table, trimmed
 from kestrelq.llm.graph import components
+from kestrelq.llm.substring import _pack, _unpack
 
 BITS, SEED, SHINGLE, RADIUS = 64, 42, 4, 4
 #: Of the pipeline's stage: shingles of five words whose sets have this Jaccard similarity. Texts meet by the least KEEP hashes of their
@@ -41,9 +42,11 @@ STAGE_SHINGLE, SIMILARITY, KEEP, WIDE, FEW = 5, 0.8, 16, 26, 32
 #: Odds at most of leaving out a pair by what its least hashes have in common.
 ODDS = 1e-6
 BROADCAST_ROWS = 100_000
-#: Texts of the sample that tells frequent shingles, in how many of them such a one is, how many are known; texts and shingles of one side
-#: of a cell, in which texts are compared. None changes the result.
-SAMPLE_TEXTS, OFTEN, FREQUENT, CELL_ROWS, CELL_SHINGLES = 10_000, 4, 100_000, 1_024, 1 << 20
+#: A frequent shingle is in OFTEN of FREQUENT_OF texts, counted over all; how many are known; texts and shingles of one side of a cell, in
+#: which texts are compared. None changes the result.
+FREQUENT_OF, OFTEN, FREQUENT, CELL_ROWS, CELL_SHINGLES = 10_000, 4, 100_000, 1_024, 1 << 20
+#: Shingles that are counted at once, bytes of text for each, about, and how their counts are packed.
+TOKENS_AT_ONCE, BYTES_A_SHINGLE, COUNTED = 1 << 18, 6, (("<u8", 8, True), ("<u4", 4, False))
 #: Least hashes that a text has in common with a centre that it is compared with; those left out meet later.
 STAR_SHARED = 4
 #: Pairs whose least hashes are compared at once.
@@ -341,17 +344,60 @@ def _of(docs: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def _frequent(docs: DataFrame, shingle: int) -> np.ndarray:
-    """Sorted hashes of shingles that several texts of a sample have. Any choice gives the same links."""
+    """Sorted hashes of the shingles that OFTEN of FREQUENT_OF texts have, OFTEN at least, counted over all texts: the FREQUENT most common ones. Any choice gives the same links."""
+    n, size = docs.select(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()
+    least, buckets = max(OFTEN, -(-OFTEN * n // FREQUENT_OF)), max(1, size // BYTES_A_SHINGLE // TOKENS_AT_ONCE)
+
+    def packed(held: list[np.ndarray]) -> pa.RecordBatch:
+        tokens, counts = np.unique(np.concatenate(held), return_counts=True)
+        bucket = ((tokens >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+        cuts = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(tokens)]))
+        blobs = [_pack((tokens[i:j], counts[i:j].astype(np.uint32)), COUNTED) for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), pa.array(blobs, pa.binary())], ["bucket", "payload"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = Shingles(shingle)
+        made, held, n = Shingles(shingle), [], 0
         for batch in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([made.of(t) for t in batch.column("text").to_pylist()]).view(np.int64))], ["token"])
+            for t in batch.column("text").to_pylist():
+                held.append(made.of(t))
+                n += len(held[-1])
+                if n >= TOKENS_AT_ONCE:
+                    yield packed(held)
+                    held, n = [], 0
+        if held:
+            yield packed(held)
+
+    def total(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, n = None, [], 0
+
+        def summed() -> list[tuple[np.ndarray, np.ndarray]]:
+            tokens, counts = (np.concatenate(x) for x in zip(*held, strict=True))
+            tokens, place = np.unique(tokens, return_inverse=True)
+            return [(tokens, np.bincount(place, counts).astype(np.int64))]
+
+        def often() -> pa.RecordBatch:
+            tokens, counts = summed()[0]
+            known = counts >= least
+            return pa.RecordBatch.from_arrays([pa.array(tokens[known].view(np.int64)), pa.array(counts[known])], ["token", "count"])
+
+        for batch in batches:
+            for bucket, payload in zip(batch.column("bucket").to_pylist(), batch.column("payload"), strict=True):
+                if bucket != at:
+                    if held:
+                        yield often()
+                    at, held, n = bucket, [], 0
+                tokens, counts = _unpack(payload.as_buffer(), COUNTED)
+                held.append((tokens, counts.astype(np.int64)))
+                n += len(tokens)
+                if n > 4 * TOKENS_AT_ONCE:  # what repeats is summed up before the bucket ends
+                    held = summed()
+                    n = 0
+        if held:
+            yield often()
 
-    one_in = max(1, docs.count() // SAMPLE_TEXTS)
-    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0).select(F.col("text").cast("string").alias("text"))
-    counted = sample.mapInArrow(trimmed(run), "token long").groupBy("token").count().filter(F.col("count") >= OFTEN)
-    found = counted.orderBy(F.desc("count"), "token").limit(FREQUENT).collect()
+    tokens = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run), "bucket int, payload binary")
+    dealt = tokens.repartition(partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket")
+    found = dealt.mapInArrow(trimmed(total), "token long, count long").orderBy(F.desc("count"), "token").limit(FREQUENT).collect()
     return np.sort(np.array([r[0] for r in found], np.int64).view(np.uint64))
 
 
