@@ -30,7 +30,7 @@ from kestrelq.llm.common import slices, table, trimmed
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SHIFT = 20
 NO_RANK = np.iinfo(np.int64).max
-CACHE_WORDS, CACHE_CHARS = 400_000, 64
+CACHE_WORDS, CACHE_CHARS = 150_000, 64
 LONG_TEXT = 4_000_000
 
 

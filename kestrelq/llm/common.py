@@ -18,7 +18,7 @@ SLICE_CHARS = 2_000_000
 
 
 #: Rows and bytes of a record batch where the session has Spark's defaults: batches of whole texts are large, and the JVM holds them outside its heap.
-BATCH_SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b")}
+BATCH_SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4194304b")}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,7 +51,7 @@ def slices(batches: Iterable[pa.RecordBatch], text: str, chars: int = SLICE_CHAR
 class WordHashes:
     """64-bit hashes of words, kept in a bounded cache."""
 
-    def __init__(self, most: int = 250_000):
+    def __init__(self, most: int = 100_000):
         self.most, self.cache = most, {}
 
     def of(self, words: list[bytes]) -> np.ndarray:

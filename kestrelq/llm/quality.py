@@ -37,7 +37,7 @@ from kestrelq.llm.common import Workspace, slices, table, train_fold, trimmed
 
 FOLDS, HELD_OUT = 3, 1
 SAMPLE, PAIRS, RIDGE, STEPS, FEW_WORDS = 8_000, 20_000, 1e-3, 25, 5
-BUCKETS, CACHE_WORDS = 256, 400_000
+BUCKETS, CACHE_WORDS = 256, 100_000
 #: How much more the weights of words are held back than others, as they are many.
 WORD_RIDGE = 30.0
 #: Least width of the bins of scores, how many lie on either side of 0, coarse ones, the step that ends the search, multiples of the weights
@@ -149,6 +149,7 @@ def _featured(docs: DataFrame, known: DataFrame) -> DataFrame:
         for batch in slices(batches, "text"):
             made = [features(t).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), batch.column("quality")], ["features", "quality"])
+        _bucket_of.clear()  # workers live on, through stages that need none of it
 
     return texts.mapInArrow(trimmed(run), "features binary, quality int")
 
@@ -322,6 +323,7 @@ def score(docs: DataFrame, ranking: Ranking) -> DataFrame:
         for batch in slices(batches, "text"):
             made = ranking.score(np.stack([features(t) for t in batch.column("text").to_pylist()]))
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), pa.array(made), pa.array((made >= 0.5).astype(np.int32))], [f.name for f in schema])
+        _bucket_of.clear()
 
     return docs.mapInArrow(trimmed(run), schema)
 

@@ -44,20 +44,20 @@ ODDS = 1e-6
 BROADCAST_ROWS = 100_000
 #: A frequent shingle is in OFTEN of FREQUENT_OF texts, counted over all; how many are known; texts and shingles of one side of a cell, in
 #: which texts are compared. None changes the result.
-FREQUENT_OF, OFTEN, FREQUENT, CELL_ROWS, CELL_SHINGLES = 10_000, 4, 100_000, 1_024, 1 << 20
+FREQUENT_OF, OFTEN, FREQUENT, CELL_ROWS, CELL_SHINGLES = 10_000, 4, 100_000, 1_024, 1 << 18
 #: Shingles that are counted at once, bytes of text for each, about, and how their counts are packed.
 TOKENS_AT_ONCE, BYTES_A_SHINGLE, COUNTED = 1 << 18, 6, (("<u8", 8, True), ("<u4", 4, False))
 #: Least hashes that a text has in common with a centre that it is compared with; those left out meet later.
 STAR_SHARED = 4
 #: Pairs whose least hashes are compared at once.
-PAIRS_AT_ONCE = 20_000
+PAIRS_AT_ONCE = 10_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SHINGLES_AT_ONCE = 1 << 16
 #: Estimated seconds that a row of a key and a compared pair take; they choose the number of blocks, never the result.
 ROW_S, PAIR_S = 3e-6, 8e-9
 #: Rows of one key from which it is dealt out again.
 HOT_KEY = 1 << 15
-ROWS_AT_ONCE = 1 << 16
+ROWS_AT_ONCE, CELLS_AT_ONCE = 1 << 16, 1 << 14
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -522,7 +522,7 @@ def _candidates(rows: DataFrame, keep: int, radius: int, similarity: float) -> D
         for batch in batches:
             held.append(batch)
             n += batch.num_rows
-            if n >= ROWS_AT_ONCE:
+            if n >= CELLS_AT_ONCE:
                 now = pa.Table.from_batches(held)
                 last = now.slice(n - 1, 1)
                 same = np.all([now.column(c).to_numpy() == last.column(c).to_numpy()[0] for c in CELL], axis=0)
